@@ -83,7 +83,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         m = max(1 << 16, 2 * n)
-        _POWERS[:] = [np.cumprod(np.concatenate(([1], np.full(m - 1, b, dtype=object))).astype(np.uint64), dtype=np.uint64) for b in (_BASE, _INVERSE)]
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(m - 1, b, dtype=np.uint64))), dtype=np.uint64) for b in (_BASE, _INVERSE)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
