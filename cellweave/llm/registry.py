@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cellweave.llm import exact_dedup, license_scan, mixture, quality, url_filter
+from cellweave.llm import exact_dedup, jaccard_join, license_scan, mixture, quality, toxicity, url_filter
 
-_MODULES = (url_filter, license_scan, mixture, exact_dedup, quality)
+_MODULES = (toxicity, jaccard_join, url_filter, license_scan, mixture, exact_dedup, quality)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
