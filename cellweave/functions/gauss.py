@@ -35,13 +35,13 @@ def floored(cxx: Column, cxy: Column, cyy: Column, czz: Column) -> dict[str, Col
     lift = F.when(gap > 0, (f1 - f2) / (2 * gap)).otherwise(F.lit(0.0))
     base = F.when(gap > 0, f2).otherwise(f1)
     xx, xy, yy = base + lift * (cxx - l2), lift * cxy, base + lift * (cyy - l2)
-    det = xx * yy - xy * xy
+    det = F.nullif(xx * yy - xy * xy, F.lit(0.0))  # a cell of one point has no inverse
     return {"cxx": xx, "cxy": xy, "cyy": yy, "czz": F.greatest(czz, least), "ixx": yy / det, "ixy": -xy / det, "iyy": xx / det}
 
 
 def line_likelihood(sx: Column, sy: Column, ex: Column, ey: Column, mx: Column, my: Column, ixx: Column, ixy: Column, iyy: Column) -> tuple[Column, Column]:
     """Largest likelihood of a Gaussian on the line start-end, and the distance from that place to the end."""
-    norm = F.sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy))
+    norm = F.nullif(F.sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy)), F.lit(0.0))
     lx, ly = (ex - sx) / norm, (ey - sy) / norm
     ax, ay = ixx * lx + ixy * ly, ixy * lx + iyy * ly
     bx, by = ex - mx, ey - my

@@ -145,7 +145,7 @@ def _newton(terms, pose: np.ndarray, least: float, most: float, epsilon: float,
         if not size > 0:
             return pose, value, size == 0, done
         step /= size
-        if step @ gradient > 0:  # uphill for the minimised function: turn round
+        if step @ gradient < 0:  # the score is to grow: turn round
             step = -step
         size = max(min(size, most), least)
         pose = pose + step * size

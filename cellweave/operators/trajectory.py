@@ -77,7 +77,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], tole
     Rows meet by time slices as wide as the tolerance, an equi-join on at most three slices.
     """
     wide = int(tolerance_s * 1e6)
-    us = lambda c: F.unix_micros(F.col(c))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     a = left.select(*keys, F.col("id").alias("left_id"), us("ts").alias("lt")).withColumn("slice", F.explode(F.array(*[F.floor(F.col("lt") / wide) + i for i in (-1, 0, 1)])))
     b = right.select(*keys, F.col("id").alias("right_id"), us("ts").alias("rt")).withColumn("slice", F.floor(F.col("rt") / wide))
     pairs = a.join(b, [*keys, "slice"]).withColumn("gap_us", F.abs(F.col("lt") - F.col("rt"))).filter(F.col("gap_us") <= wide)

@@ -70,10 +70,10 @@ def ndt_cells(spark: SparkSession, sf: str) -> DataFrame:
     return b.cells(spark, sf).filter("has_gaussian")
 
 
-@query(f"WITH {b.CELLS}, {b.FLOORED.format(source='cells', name='fl')} SELECT scan_id, cx, cy, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in ('cxx', 'cxy', 'cyy', 'czz', 'ixx', 'ixy', 'iyy'))} FROM fl WHERE has_gaussian")
+@query(f"WITH {b.CELLS}, {b.FLOORED.format(source='cells', name='fl')} SELECT scan_id, cx, cy, {', '.join(f'round({c} + {b.OFF_HALF}, 6) + 0.0 AS {c}' for c in ('cxx', 'cxy', 'cyy', 'czz', 'ixx', 'ixy', 'iyy'))} FROM fl WHERE has_gaussian")
 def ndt_cells_floored(spark: SparkSession, sf: str) -> DataFrame:
     rows = voxel.floored(b.cells(spark, sf).filter("has_gaussian"))
-    return rows.select("scan_id", "cx", "cy", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("cxx", "cxy", "cyy", "czz", "ixx", "ixy", "iyy")])
+    return rows.select("scan_id", "cx", "cy", *[b.off_half(c) for c in ("cxx", "cxy", "cyy", "czz", "ixx", "ixy", "iyy")])
 
 
 EXT = f"""bx AS (SELECT scan_id, least(0.0, min(x)) AS minx, greatest(0.0, max(x)) AS maxx, least(0.0, min(y)) AS miny, greatest(0.0, max(y)) AS maxy FROM sp GROUP BY scan_id),
@@ -112,7 +112,7 @@ SELECT cx, cy, n, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in ('mx', 'my',
 @query(_PAIR)
 def cell_merge_pairwise(spark: SparkSession, sf: str) -> DataFrame:
     p = b.scan_points(spark, sf)
-    half = [voxel.cells(p.filter(F.col("scan_id") % 2 == i), [], SIZE).withColumns({c: r6(c) for c in ("mx", "my", "cxx", "cxy", "cyy", "czz", "occ")}) for i in (0, 1)]
+    half = [voxel.cells(p.filter(F.col("scan_id") % 2 == i), [], SIZE).withColumns({c: b.off_half(c) for c in ("mx", "my", "cxx", "cxy", "cyy", "czz", "occ")}) for i in (0, 1)]
     rows = voxel.merged_pair(half[0], half[1], ["cx", "cy"])
     return rows.select("cx", "cy", "n", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("mx", "my", "cxx", "cxy", "cyy", "occ")], "has_gaussian")
 
@@ -124,14 +124,14 @@ def coarser_grid_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_sums_sql(source: str, keys: str) -> str:
-    return f"""SELECT {keys}, sum(n)::BIGINT AS n, round(sum(n * mx) / sum(n), 6) + 0.0 AS mx, round(sum(n * my) / sum(n), 6) + 0.0 AS my,
-round((sum((n - 1) * cxx + n * mx * mx) - sum(n) * (sum(n * mx) / sum(n)) * (sum(n * mx) / sum(n))) / (sum(n) - 1), 5) + 0.0 AS cxx,
-round((sum((n - 1) * cxy + n * mx * my) - sum(n) * (sum(n * mx) / sum(n)) * (sum(n * my) / sum(n))) / (sum(n) - 1), 5) + 0.0 AS cxy,
-round((sum((n - 1) * cyy + n * my * my) - sum(n) * (sum(n * my) / sum(n)) * (sum(n * my) / sum(n))) / (sum(n) - 1), 5) + 0.0 AS cyy FROM {source} GROUP BY {keys}"""
+    return f"""SELECT {keys}, sum(n)::BIGINT AS n, round(sum(n * mx) / sum(n) + {b.OFF_HALF}, 6) + 0.0 AS mx, round(sum(n * my) / sum(n) + {b.OFF_HALF}, 6) + 0.0 AS my,
+round((sum((n - 1) * cxx + n * mx * mx) - sum(n) * (sum(n * mx) / sum(n)) * (sum(n * mx) / sum(n))) / (sum(n) - 1) + {b.OFF_HALF}, 6) + 0.0 AS cxx,
+round((sum((n - 1) * cxy + n * mx * my) - sum(n) * (sum(n * mx) / sum(n)) * (sum(n * my) / sum(n))) / (sum(n) - 1) + {b.OFF_HALF}, 6) + 0.0 AS cxy,
+round((sum((n - 1) * cyy + n * my * my) - sum(n) * (sum(n * my) / sum(n)) * (sum(n * my) / sum(n))) / (sum(n) - 1) + {b.OFF_HALF}, 6) + 0.0 AS cyy FROM {source} GROUP BY {keys}"""
 
 
 def _merged(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.select(*keys, "n", r6("mx"), r6("my"), *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("cxx", "cxy", "cyy")])
+    return rows.select(*keys, "n", b.off_half("mx"), b.off_half("my"), *[b.off_half(c) for c in ("cxx", "cxy", "cyy")])
 
 
 @query(f"""WITH {b.CELLS}, k AS (SELECT scan_id, {b.key_sql('mx', 'my', 0.5)}, n, mx, my, cxx, cxy, cyy FROM cells WHERE has_gaussian) {merge_sums_sql('k', 'scan_id, cx, cy')}""")
@@ -399,14 +399,14 @@ def _blocks_sql() -> str:
     cols = lambda p, q: ", ".join(f"{entry(p, q, r, c)} AS h{3 * r + c}" for r in range(3) for c in range(3))
     return f"""WITH {b.GRAPH}, {_JAC}, blk AS (SELECT robot, src AS i, src AS j, {cols(_A, _A)} FROM jac UNION ALL SELECT robot, dst, dst, {cols(_B, _B)} FROM jac
 UNION ALL SELECT robot, src, dst, {cols(_A, _B)} FROM jac WHERE src < dst UNION ALL SELECT robot, dst, src, {cols(_B, _A)} FROM jac WHERE src > dst)
-SELECT robot, i, j, {', '.join(f'round(sum(h{n}), 3) + 0.0 AS h{n}' for n in range(9))} FROM blk GROUP BY robot, i, j"""
+SELECT robot, i, j, {', '.join(f'round(sum(h{n}) + {b.OFF_HALF}, 5) + 0.0 AS h{n}' for n in range(9))} FROM blk GROUP BY robot, i, j"""
 
 
 @query(_blocks_sql())
 def normal_equation_blocks(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = b.graph(spark, sf)
     rows = graph.normal_blocks(edges, nodes, ("robot",))
-    return rows.select("robot", "i", "j", *[(F.round(f"h{n}", 3) + F.lit(0.0)).alias(f"h{n}") for n in range(9)])
+    return rows.select("robot", "i", "j", *[(F.round(F.col(f"h{n}") + F.lit(b.OFF_HALF), 5) + F.lit(0.0)).alias(f"h{n}") for n in range(9)])
 
 
 @query(f"""WITH {b.POSES} SELECT p.robot, p.id AS a, q.id AS b, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) AS distance, round(p.path - q.path, 6) AS path_distance
@@ -522,7 +522,7 @@ def pose_graph_optimize(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"robot": F.lit(robot), "chi2_first": F.lit(history[0]), "chi2_last": F.lit(history[-1])})
 
 
-@query(f"WITH {b.SP}, {b.cells_sql('c0', 'sp', 'scan_id, ')} SELECT scan_id, cx, cy, n, round(mx, 6) + 0.0 AS mx, round(my, 6) + 0.0 AS my, round(occ, 6) AS occ FROM c0")
+@query(f"WITH {b.SP}, {b.cells_sql('c0', 'sp', 'scan_id, ')} SELECT scan_id, cx, cy, n, round(mx + {b.OFF_HALF}, 6) + 0.0 AS mx, round(my + {b.OFF_HALF}, 6) + 0.0 AS my, round(occ + {b.OFF_HALF}, 6) + 0.0 AS occ FROM c0")
 def stream_map(spark: SparkSession, sf: str) -> DataFrame:
     source = b.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     landing, out, state = (storage.fresh_path(spark) for _ in range(3))
@@ -531,7 +531,7 @@ def stream_map(spark: SparkSession, sf: str) -> DataFrame:
     x, y = (F.col("l_quantity") - 25.5) / 20.0, (F.col("l_extendedprice") % 1000.0) / 400.0 - 1.25
     points = t.select(F.col("l_suppkey").alias("scan_id"), x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"))
     live.run_to_end(live.stream_cells(points, SIZE), state, lambda batch, _: batch.write.mode("overwrite").parquet(out), "complete")
-    return spark.read.parquet(out).select("scan_id", "cx", "cy", "n", r6("mx"), r6("my"), r6("occ"))
+    return spark.read.parquet(out).select("scan_id", "cx", "cy", "n", *[b.off_half(c) for c in ("mx", "my", "occ")])
 
 
 @query()
