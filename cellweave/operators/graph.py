@@ -59,8 +59,8 @@ class PoseGraph:
 
     def frames(self, spark) -> tuple[DataFrame, DataFrame]:
         info = [float(v) for v in np.diag(INFORMATION).ravel()]
-        nodes = [(i, *p, i) for i, p in self.nodes.items()]
-        edges = [(i, s, d, k, st, *t, info) for i, (s, d, k, st, t) in self.edges.items()]
+        nodes = [(i, *map(float, p), i) for i, p in self.nodes.items()]
+        edges = [(i, s, d, k, st, *map(float, t), info) for i, (s, d, k, st, t) in self.edges.items()]
         return spark.createDataFrame(nodes, "id bigint, x double, y double, theta double, frame_id bigint"), spark.createDataFrame(edges, EDGE)
 
 
