@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of docs, token ids and the digests of ids and decoded bytes."""
-    return byte_bpe.encoded(docs)
+    """Ids of every text, their number and digest, and the digest of the bytes they decode to."""
+    return byte_bpe.encoded(docs, byte_bpe.default_ranks())
 
 
 STAGES = [
