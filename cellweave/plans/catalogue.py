@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave import storage
@@ -163,8 +163,6 @@ def motion_delta(spark: SparkSession, sf: str) -> DataFrame:
 SELECT robot, id, round(cos(theta) * (px - x) + sin(theta) * (py - y), 6) + 0.0 AS fx, round(cos(theta) * (py - y) - sin(theta) * (px - x), 6) + 0.0 AS fy, round(sin(theta / 2), 6) + 0.0 AS qz, round(cos(theta / 2), 6) + 0.0 AS qw
 FROM o WHERE px IS NOT NULL""")
 def frame_change(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("robot").orderBy("id")
     rows = b.poses(spark, sf).select("robot", "id", "x", "y", "theta", *[F.lag(c).over(w).alias(f"p{c[0]}") for c in ("x", "y", "theta")]).filter("px IS NOT NULL")
     f = se2.between_frames((F.col("px"), F.col("py"), F.col("pt")), (F.col("x"), F.col("y"), F.col("theta")))
@@ -333,7 +331,7 @@ def _p2d_sql() -> str:
     out += [f"round(sum(CASE WHEN {ok} THEN {_D1 * _D2} * e * {qj[i]} ELSE 0 END), 4) + 0.0 AS g{i}" for i in range(3)]
     out += [f"round(sum(CASE WHEN {ok} THEN {_D1 * _D2} * e * (-{_D2} * {qj[int(k[0])]} * {qj[int(k[1])]} + {'0' if k == '22' else bend} + {v}) ELSE 0 END), 3) + 0.0 AS h{k}" for k, v in jij.items()]
     return f"""WITH {b.CELLS}, gg AS (SELECT * FROM cells WHERE has_gaussian), {b.FLOORED.format(source='gg', name='fl')},
-p AS (SELECT scan_id, pt_idx, x, y, round({_NC} * x - {_NS} * y + {NEAR[0]}, 6) AS tx, round({_NS} * x + {_NC} * y + ({NEAR[1]}), 6) AS ty FROM sp),
+p AS (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY pt_idx, x, y) AS pt_idx, x, y, round({_NC} * x - {_NS} * y + {NEAR[0]}, 6) AS tx, round({_NS} * x + {_NC} * y + ({NEAR[1]}), 6) AS ty FROM sp),
 n AS (SELECT p.*, mx, my, ixx, ixy, iyy FROM p JOIN fl USING (scan_id) QUALIFY row_number() OVER (PARTITION BY scan_id, pt_idx ORDER BY (mx - tx) ** 2 + (my - ty) ** 2, cy * 100000 + cx) <= 4),
 q AS (SELECT *, (tx - mx) * ixx + (ty - my) * ixy AS q0, (tx - mx) * ixy + (ty - my) * iyy AS q1 FROM n),
 e AS (SELECT *, exp(-{_D2 / 2} * (q0 * (tx - mx) + q1 * (ty - my))) AS e FROM q)
@@ -344,7 +342,9 @@ SELECT scan_id, count(*) AS n_terms, {', '.join(out)} FROM e GROUP BY scan_id"""
 def p2d_score_terms(spark: SparkSession, sf: str) -> DataFrame:
     g = storage.stored(voxel.floored(b.cells(spark, sf).filter("has_gaussian")).withColumn("tid", F.col("cy") * 100000 + F.col("cx")))
     x, y = se2.apply(lits(NEAR), F.col("x"), F.col("y"))
-    p = b.scan_points(spark, sf).withColumns({"tx": F.round(x, 6), "ty": F.round(y, 6)})
+    one = Window.partitionBy("scan_id").orderBy("pt_idx", "x", "y")  # equal rows are points of their own
+    p = b.scan_points(spark, sf).withColumns({"pt_idx": F.row_number().over(one), "tx": F.round(x, 6), "ty": F.round(y, 6)})
+    p = storage.stored(p)
     near = spatial.nearest(p.select("scan_id", F.col("pt_idx").alias("qid"), F.col("tx").alias("qx"), F.col("ty").alias("qy")), g.select("scan_id", "tid", F.col("mx").alias("tx"), F.col("my").alias("ty")), ["scan_id"], 4, SIZE, 2)
     rows = near.select("scan_id", F.col("qid").alias("pt_idx"), "tid").join(p, ["scan_id", "pt_idx"]).join(g.select("scan_id", "tid", "mx", "my", "ixx", "ixy", "iyy"), ["scan_id", "tid"])
     terms = registration.p2d_columns(NEAR[2], _D1, _D2)
