@@ -61,16 +61,45 @@ def concatenated_covariance(steps: DataFrame, keys: Sequence[str], order: Sequen
     return steps.groupBy(*keys).agg(F.aggregate(seq, start, step).alias("c")).select(*keys, "c.*")
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str]) -> DataFrame:
-    """Each row of left with the values of the last row of right not after it; rows without one are dropped."""
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], forward: bool = False) -> DataFrame:
+    """Each row of left with the values of the last row of right not after it, or the first not before it if forward; rows
+    without one are dropped."""
     marked = left.withColumns({"_r": F.lit(1), **{f"_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values}})
     other = right.select(*keys, ts, *[F.col(v).alias(f"_{v}") for v in values], F.lit(0).alias("_r"))
     rows = marked.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(ts, "_r").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(F.desc(ts) if forward else F.asc(ts), "_r").rowsBetween(Window.unboundedPreceding, 0)
     found = F.last(F.when(F.col("_r") == 0, F.struct(*[F.col(f"_{v}").alias(v) for v in values])), ignorenulls=True).over(w)
     return rows.withColumn("_f", found).filter("_r = 1 AND _f IS NOT NULL").select(*left.columns, *[F.col(f"_f.{v}").alias(f"right_{v}") for v in values])
 
 
+def interpolated(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
+    """Adds value as it lies between the rows of right before and after each row of left; rows not between two are dropped."""
+    timed = right.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    before = asof(left, timed, keys, ts, ["_us", value]).withColumnsRenamed({"right__us": "_t0", f"right_{value}": "_v0"})
+    both = asof(before, timed, keys, ts, ["_us", value], forward=True)
+    span, at = F.col("right__us") - F.col("_t0"), F.unix_micros(F.col(ts).cast("timestamp")) - F.col("_t0")
+    between = F.when(span == 0, F.col("_v0")).otherwise(F.col("_v0") + (F.col(f"right_{value}") - F.col("_v0")) * (at / F.nullif(span, F.lit(0))))
+    return both.select(*left.columns, between.alias(f"at_{value}"))
+
+
+def pair_selection(poses: DataFrame, keys: Sequence[str], order: str, least_rotation: float = 0.3, least_distance: float = 0.4) -> DataFrame:
+    """source, target: poses far enough, in rotation and distance, from the one chosen last; the first pose is chosen."""
+    seq = F.array_sort(F.collect_list(F.struct(order, "x", "y", "theta")))
+
+    def step(s, p):
+        turn = F.abs(se2.angle_difference((s.x, s.y, s.theta), (p.x, p.y, p.theta)))
+        far = (turn > least_rotation) & (F.sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) > least_distance)
+        pair = F.array(F.struct(p[order].alias("source"), s.at.alias("target")))
+        chosen = F.struct(p.x.alias("x"), p.y.alias("y"), p.theta.alias("theta"), p[order].alias("at"), F.concat(s.pairs, pair).alias("pairs"))
+        return F.when(far, chosen).otherwise(s)
+
+    first = F.get("seq", 0)
+    kind = poses.schema[order].dataType.simpleString()
+    start = F.struct(first.x.alias("x"), first.y.alias("y"), first.theta.alias("theta"), first[order].alias("at"), F.expr(f"cast(array() as array<struct<source:{kind},target:{kind}>>)").alias("pairs"))
+    rows = poses.groupBy(*keys).agg(seq.alias("seq")).withColumn("s", F.aggregate("seq", start, step))
+    return rows.select(*keys, F.explode("s.pairs").alias("p")).select(*keys, "p.*")
+
+
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance_s: float) -> DataFrame:
     """Pairs (left_id, right_id, gap_us), each row once: mutual nearest within the tolerance, ties to the earlier one.
 

@@ -148,3 +148,13 @@ def radius(size: float) -> Column:
 
 def centroid(size: float) -> tuple[Column, Column]:
     return (F.col("right") - F.col("left")) * size, (F.col("up") - F.col("down")) * size
+
+
+def cloud_size(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """centroid_x, centroid_y and radius of clouds: the larger of the two ranks that leave a third of |x| and |y| out."""
+    rank = lambda c: F.get(F.sort_array(F.collect_list(F.abs(F.col(c)))), (F.floor(F.count(F.lit(1)) / 3) * 2).cast("int"))
+    return points.groupBy(*keys).agg(F.avg("x").alias("centroid_x"), F.avg("y").alias("centroid_y"), F.greatest(rank("x"), rank("y")).alias("radius"))
+
+
+def without_cells(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.join(gone.select(*keys, "cx", "cy"), [*keys, "cx", "cy"], "left_anti")

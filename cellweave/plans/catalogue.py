@@ -443,6 +443,31 @@ def asof_pose(spark: SparkSession, sf: str) -> DataFrame:
     return trajectory.asof(left, one, ["robot"], "ts", ["id", "value"]).select("robot", "id", "right_id", "right_value")
 
 
+@query(f"""WITH {_SIDES}, p AS (SELECT robot, ts, max_by(value, id) AS value FROM r GROUP BY robot, ts),
+b AS (SELECT l.robot, l.id, l.ts, p.ts AS t0, p.value AS v0 FROM l ASOF JOIN p ON l.robot = p.robot AND l.ts >= p.ts),
+f AS (SELECT b.*, p.ts AS t1, p.value AS v1 FROM b ASOF JOIN p ON b.robot = p.robot AND b.ts <= p.ts)
+SELECT robot, id, round(CASE WHEN t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * ((epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0))) END + {b.OFF_HALF}, 6) + 0.0 AS value FROM f""")
+def interpolated_pose(spark: SparkSession, sf: str) -> DataFrame:
+    left, right = _sides(spark, sf)
+    one = right.groupBy("robot", "ts").agg(F.max_by("value", "id").alias("value"))
+    rows = trajectory.interpolated(left.select("robot", "ts", "id"), one, ["robot"], "ts", "value")
+    return rows.select("robot", "id", (F.round(F.col("at_value") + F.lit(b.OFF_HALF), 6) + F.lit(0.0)).alias("value"))
+
+
+@query(f"""WITH {b.POSES}, l AS (SELECT robot, list({{'x': x, 'y': y, 'theta': theta, 'at': id, 'pairs': [id, id]}} ORDER BY id) AS s FROM poses GROUP BY robot),
+f AS (SELECT robot, list_reduce(s, lambda a, p: CASE WHEN abs(atan2(sin(p.theta - a.theta), cos(p.theta - a.theta))) > 0.25 AND sqrt((p.x - a.x) ** 2 + (p.y - a.y) ** 2) > 0.4
+  THEN {{'x': p.x, 'y': p.y, 'theta': p.theta, 'at': p.at, 'pairs': list_concat(a.pairs, [p.at])}} ELSE a END) AS s FROM l),
+c AS (SELECT robot, s.pairs[2:] AS c FROM f) SELECT robot, c[i + 1] AS source, c[i] AS target FROM (SELECT robot, c, unnest(range(1, len(c))) AS i FROM c)""")
+def pair_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return trajectory.pair_selection(b.poses(spark, sf).select("robot", "id", "x", "y", "theta"), ["robot"], "id", 0.25).select("robot", "source", "target")
+
+
+@query(f"""WITH {b.SP} SELECT scan_id, round(avg(x) + {b.OFF_HALF}, 6) + 0.0 AS centroid_x, round(avg(y) + {b.OFF_HALF}, 6) + 0.0 AS centroid_y,
+round(greatest(list_sort(list(abs(x)))[count(*) // 3 * 2 + 1], list_sort(list(abs(y)))[count(*) // 3 * 2 + 1]), 6) AS radius FROM sp GROUP BY scan_id""")
+def cloud_size(spark: SparkSession, sf: str) -> DataFrame:
+    return voxel.cloud_size(b.scan_points(spark, sf), ["scan_id"]).select("scan_id", b.off_half("centroid_x"), b.off_half("centroid_y"), r6("radius"))
+
+
 @query(f"""WITH {_SIDES}, p AS (SELECT l.robot, l.id AS left_id, r.id AS right_id, epoch_us(l.ts) AS lt, epoch_us(r.ts) AS rt, abs(epoch_us(l.ts) - epoch_us(r.ts)) AS gap_us FROM l JOIN r ON l.robot = r.robot AND abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 3600000000),
 q AS (SELECT *, row_number() OVER (PARTITION BY robot, left_id ORDER BY gap_us, rt, right_id) AS i, row_number() OVER (PARTITION BY robot, right_id ORDER BY gap_us, lt, left_id) AS j FROM p)
 SELECT robot, left_id, right_id, gap_us FROM q WHERE i = 1 AND j = 1""")
