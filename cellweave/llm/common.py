@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,18 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it holds, Arrow batches have so many rows at most: for actions on rows that are large each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -53,11 +66,13 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each Arrow batch with its texts as UTF-8 bytes; null is empty."""
-    for batch in batches:
-        raw = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
-        yield batch, [x or b"" for x in raw.to_pylist()]
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the Arrow batches with their texts as UTF-8 bytes, null as empty; short, so that a task holds few texts."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            raw = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+            yield batch, [x or b"" for x in raw.to_pylist()]
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +102,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[list(SPACE_CHARS.encode())] = True
-_TO_LOWER = np.arange(256, dtype=np.uint8)
-_TO_LOWER[65:91] += 32
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[list(SPACE_CHARS.encode())] = False
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
 
 
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
@@ -98,11 +113,13 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     raw = np.frombuffer(text, dtype=np.uint8)
     if not len(raw):
         return np.empty(0, dtype=np.uint64)
-    solid = ~_IS_SPACE[raw]
-    edge = np.diff(np.concatenate(([False], solid, [False])).astype(np.int8))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    solid = np.zeros(len(raw) + 2, dtype=bool)
+    np.take(_SOLID, raw, out=solid[1:-1])
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    start, stop = edge[::2], edge[1::2]
     up, down = _powers(len(raw))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[_TO_LOWER[raw] if lower else raw] * up, dtype=np.uint64)))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * up, out=sums[1:])
     return mix64((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
@@ -112,11 +129,18 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return words
     width = min(width, len(words))
     n = len(words) - width + 1
-    total = np.zeros(n, dtype=np.uint64)
-    for i in range(width):
-        total = mix64(total + words[i : i + n] * _ODD[1 + i % 7])
+    total = words[:n] * _ODD[1]
+    for i in range(1, width):
+        total += words[i : i + n]
+        total *= _ODD[1 + i % 7]
     return mix64(total + np.uint64(width))
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    return x if len(x) < 2 else x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

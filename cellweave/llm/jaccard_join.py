@@ -5,8 +5,9 @@ minimum hash, then split to a bounded size and into local components, the units)
 each unit's union of prefix tokens. Its columns bound the overlap of a query unit with a unit: pairs below the bound are
 never opened, and pairs already connected need not be. An opened pair compares its sets exactly.
 
-A set of n tokens needs an overlap of at least o = ceil(0.8 n) with any partner, so two partners share at least l tokens of
-their first n - o + l in any common order. Tokens that are frequent in the table come last in that order.
+A set of n tokens needs an overlap of at least o = ceil(0.8 n) with any partner. Whatever common order the tokens are put
+in, two partners share at least min(l, o) tokens, for the larger o, among the first n - o + l of each. Tokens that are
+frequent in the table come last in that order.
 
 Defined results: a null text counts as empty; a document without words has no shingles and is linked with nothing. Fewer
 than five words make one shingle. Rows with equal ids keep their own sets. An empty table gives none; extra columns are
@@ -23,21 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import signed, stored, table, text_batches, window_hashes, word_hashes
+from cellweave.llm.common import short_batches, signed, sorted_set, stored, table, text_batches, window_hashes, word_hashes
 from cellweave.llm.components import components
 
 WIDTH = 5
 SIMILARITY = 80  # of 100
-OVERLAP = 2  # prefix tokens that two partners share at least, where the sets are large enough
-GROUP = 64  # sets in a group, about
+OVERLAP = 16  # prefix tokens that two partners share at least, where the sets are large enough
+GROUP = 256  # sets in a group, about
 FREQUENT = 1 << 17  # tokens whose frequency the order knows; any order gives the same result
 LOCAL = 4  # a token is reported by a task that has met it in so many documents
-CHUNK = 1 << 21  # tokens that a task counts at once
+CHUNK = 1 << 20  # tokens that a task counts at once
+SALTS = 16  # parts into which the rows of a frequent token are dealt
+OPENED = 8  # groups, or pairs of groups, that a task holds at once
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The sorted set of a text's shingle hashes."""
-    return np.unique(window_hashes(word_hashes(text), width))
+    return sorted_set(window_hashes(word_hashes(text), width))
 
 
 def fingerprint(tokens: np.ndarray) -> bytes | None:
@@ -55,85 +58,139 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """The most frequent tokens of the whole table, most frequent last; at most FREQUENT of them."""
+def needed(n: int) -> tuple[int, int]:
+    """For a set of n tokens: the overlap any partner has with it at least, and how much of it shows in prefixes."""
+    least = -(-SIMILARITY * n // 100)
+    return least, min(OVERLAP, least)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
-            often = n >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(signed(tokens[often])), pa.array(n[often])], names=["token", "n"])
 
+def _profiles(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: a row for each document, and rows (token, n) of what is frequent within a task's chunk."""
+    schema = "doc_id long, n long, fp binary, sid long, key long, need int, token long, often long"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        tokens, n = tokens[n >= LOCAL], n[n >= LOCAL]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(n), k) for k in kinds[:6]], pa.array(signed(tokens)), pa.array(n)], names=names)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, texts in text_batches(batches):
-            for text in texts:
-                held.append(shingles(text))
-                size += len(held[-1])
+        for batch, texts in text_batches(batches):
+            sets = [shingles(x) for x in texts]
+            fps = [fingerprint(t) for t in sets]
+            sids = [None if fp is None else int.from_bytes(fp[:8], "big", signed=True) for fp in fps]
+            keys = [int(t[0].astype(np.int64)) if len(t) else None for t in sets]
+            own = [batch.column(0), [len(t) for t in sets], fps, sids, keys, [needed(len(t))[1] for t in sets]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(own, kinds)], pa.nulls(len(sets), kinds[6]), pa.nulls(len(sets), kinds[7])], names=names)
+            for t in sets:
+                held.append(t)
+                size += len(t)
                 if size >= CHUNK:
-                    yield counted(held)
+                    yield frequent(held)
                     held, size = [], 0
-        yield counted(held)
+        if held:
+            yield frequent(held)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, schema)
 
-    counts = docs.select("text").mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    return top["token"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
+def _own_ids(sets: DataFrame) -> dict[bytes, int]:
+    """New ids for the few sets whose 64-bit ids clash (about n^2 / 2^65 of n sets)."""
+    clash = sets.join(sets.groupBy("sid").count().filter("count > 1").select("sid"), "sid").select("fp").orderBy("fp").collect()
+    new: dict[bytes, int] = {}
+    for r in clash:
+        for turn in range(1 << 20):
+            sid = int.from_bytes(hashlib.blake2b(bytes(r.fp), digest_size=8, salt=str(turn).encode()).digest(), "big", signed=True)
+            if sid not in new.values() and sets.filter(F.col("sid") == sid).isEmpty():
+                new[bytes(r.fp)] = sid
+                break
+    return new
 
-def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, fp, key (the least hash), need (l) and prefix for every document."""
+
+def _prefixes(docs: DataFrame, frequent: np.ndarray, own_ids: dict[bytes, int]) -> DataFrame:
+    """token, sid, need, salt for the prefix tokens of every document; salt is 0 but for tokens in the frequent list."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
-    schema = "doc_id long, n long, fp binary, key long, need int, prefix array<long>"
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            n, fp, key, need, heads = [], [], [], [], []
+            heads, salts, sids, needs, done = [], [], [], [], set()
             for text in texts:
                 t = shingles(text)
-                least = -(-SIMILARITY * len(t) // 100)
-                share = min(OVERLAP, least)
-                n.append(len(t))
-                fp.append(fingerprint(t))
-                key.append(int(signed(t[:1])[0]) if len(t) else None)
-                need.append(share)
-                if len(t) and len(known):
+                fp = fingerprint(t)
+                if fp is None or fp in done:
+                    continue
+                done.add(fp)
+                least, need = needed(len(t))
+                rank = np.zeros(len(t), np.int64)
+                if len(known):
                     at = np.minimum(np.searchsorted(known, t), len(known) - 1)
                     hit = known[at] == t
                     if hit.any():
-                        t = t[np.lexsort((t, np.where(hit, by_hash[at] + 1, 0)))]
-                heads.append(signed(t[: len(t) - least + share]))
-            offsets = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(key, pa.int64()), pa.array(need, pa.int32()), prefix],
-                names=[x.split()[0] for x in schema.split(", ")],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, schema)
-
-
-def _fingerprints(docs: DataFrame) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
-            sets = [shingles(x) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(fingerprint, sets)), pa.binary())], names=["doc_id", "n_shingles", "fp"]
-            )
+                        rank = np.where(hit, by_hash[at] + 1, 0)
+                        order = np.lexsort((t, rank))
+                        t, rank = t[order], rank[order]
+                keep = len(t) - least + need
+                heads.append(signed(t[:keep]))
+                sids.append(own_ids.get(fp, int.from_bytes(fp[:8], "big", signed=True)))
+                salts.append(np.where(rank[:keep] > 0, 1 + sids[-1] % SALTS, 0).astype(np.int32))
+                needs.append(need)
+            if heads:
+                each = list(map(len, heads))
+                arrays = [np.concatenate(heads), np.repeat(np.array(sids, np.int64), each), np.repeat(np.array(needs, np.int32), each), np.concatenate(salts)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["token", "sid", "need", "salt"])
+
+    return docs.select("text").mapInArrow(emit, "token long, sid long, need int, salt int")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of rows (token, sid, need, salt), once each, those whose token has several sids or is frequent.
+
+    Each partition is read in order and never held: only the first row of the token at hand is kept back. A frequent token
+    is known to be shared, so its rows need not meet and are dealt out by salt.
+    """
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, fp binary")
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sent = None, False  # the last row so far, and whether it has been sent
+        for batch in batches:
+            c = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(c[0]):
+                continue
+            if last is not None:
+                c = [np.concatenate((np.array([x], y.dtype), y)) for x, y in zip(last, c)]
+            first = np.concatenate(([True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])))
+            c = [x[first] for x in c]
+            same = c[0][1:] == c[0][:-1]
+            keep = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (c[3] > 0)
+            was_sent, last = sent, tuple(x[-1] for x in c)
+            sent = bool(keep[-1]) or (len(keep) == 1 and was_sent)
+            if was_sent:
+                keep[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c[:3]], names=["token", "sid", "need"])
+
+    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "sid")
+    return dealt.select("token", "sid", "need", "salt").mapInArrow(runs, "token long, sid long, need int")
+
+
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the input: never by broadcast, so it plans alike at every size."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """sid, tokens for each set, from rows (sid, fp, text); a row whose text is another's, under a clashing id, is left out."""
+    """Adds tokens to rows (sid, fp, key, part, need, text); a row whose text is another's, under a clashing id, is left out."""
+    schema = "sid long, key long, part long, need int, tokens binary"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             sets = [shingles(x) for x in texts]
-            own = [fingerprint(t) == fp for t, fp in zip(sets, batch.column(1).to_pylist())]
-            both = pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tobytes() for t in sets], pa.binary())], names=["sid", "tokens"])
+            own = [fingerprint(t) == fp for t, fp in zip(sets, batch.column(4).to_pylist())]
+            both = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([t.tobytes() for t in sets], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
             yield both.filter(pa.array(own, pa.bool_()))
 
-    return docs.select("sid", "fp", "text").mapInArrow(sign, "sid long, tokens binary").dropDuplicates(["sid"])
+    return docs.select("sid", "key", "part", F.col("need").cast("int").alias("need"), "fp", "text").mapInArrow(sign, schema)
 
 
 _UNITS = "unit long, need int, sids array<long>, sizes array<int>, tokens binary"
@@ -141,9 +198,9 @@ _UNITS = "unit long, need int, sids array<long>, sizes array<int>, tokens binary
 
 def _units(group: pa.Table) -> pa.Table:
     """Local components of a group: a set is compared with the sets of each component until one is similar to it."""
-    sids = group.column("sid").to_pylist()
-    need = group.column("need").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+    rows = {r["sid"]: r for r in group.select(["sid", "need", "tokens"]).to_pylist()}  # repeated rows once
+    sids, need = list(rows), [r["need"] for r in rows.values()]
+    sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows.values()]
     parts: list[list[int]] = []
     for i in sorted(range(len(sids)), key=sids.__getitem__):
         linked = [p for p in parts if any(similar(sets[i], sets[j]) for j in p)]
@@ -154,96 +211,120 @@ def _units(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _UNITS.split(", ")])
 
 
-def _opened(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """a, b of those pairs of units that hold two similar sets."""
-    side = lambda x: units.select(F.col("unit").alias(x), F.col("sizes").alias(f"s{x}"), F.col("tokens").alias(f"t{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "ta", "sb", "tb")
+_MEMBERS = "array<struct<comp:bigint,sizes:array<int>,tokens:binary>>"
+
+
+def _owners(matrix: DataFrame, units: DataFrame) -> DataFrame:
+    """unit, gid. Units whose most widely shared token is the same form a group, split to about GROUP sets."""
+    wide = _joined(matrix, matrix.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
+    key = wide.groupBy("unit").agg(F.max_by("token", F.struct("n", "token")).alias("key"))
+    sized = _joined(key, units.select("unit", F.size("sids").alias("sets")), "unit")
+    parts = sized.groupBy("key").agg(F.ceil(F.sum("sets") / GROUP).alias("parts"))
+    return stored(_joined(sized, parts, "key").select("unit", F.xxhash64("key", F.pmod(F.xxhash64("unit"), F.col("parts"))).alias("gid")))
+
+
+def _opened(rows: DataFrame) -> DataFrame:
+    """a, b: links between components, from rows (members, others): all pairs of sets of members if there are no others, else
+    of members with others. Sets of components that are one by then are not compared.
+    """
+
+    def sets_of(members: list[dict]) -> list[tuple[int, list[np.ndarray]]]:
+        return [(m["comp"], np.split(np.frombuffer(m["tokens"], np.uint64), np.cumsum(m["sizes"])[:-1])) for m in members]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, sa, ta, sb, tb = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i in range(len(a)):
-                x = np.split(np.frombuffer(ta[i], np.uint64), np.cumsum(sa[i])[:-1])
-                y = np.split(np.frombuffer(tb[i], np.uint64), np.cumsum(sb[i])[:-1])
-                if any(similar(p, q) for p in x for q in y):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            links: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                one, two = (sets_of(batch.column(k)[i].as_py() or []) for k in range(2))
+                root: dict[int, int] = {}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root.setdefault(x, x) != x:
+                        x = root[x]
+                    return x
+
+                pairs = [(x, y) for x in one for y in two] if two else [(x, y) for j, x in enumerate(one) for y in one[:j]]
+                for (ca, xs), (cb, ys) in pairs:
+                    a, b = find(ca), find(cb)
+                    if a != b and any(similar(p, q) for p in xs for q in ys):
+                        root[a] = b
+                        links.append((min(a, b), max(a, b)))
+            a, b = ([x[k] for x in links] for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.select("members", "others").mapInArrow(check, "a long, b long")
 
 
 def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
-    """unit, comp: components of units under similarity of any of their sets.
+    """unit, comp: components of the matrix's units under similarity of any of their sets.
 
-    Star rounds compare the units that share a token with the root of the least component there, which joins families of
-    copies without all their pairs. Then every pair of units that share enough tokens and are still apart is opened.
+    Every group is opened first. A query unit then qualifies for another group if its prefix shares enough tokens with that
+    group's union. Two groups are opened to each other where units of both qualify, with these units only, unless they are
+    all of one component by then.
     """
-    comps = units.select("unit", F.col("unit").alias("comp"))
-    links, checked = None, None
-
-    def labelled() -> DataFrame:
-        return matrix.join(comps, "unit")
-
-    def apart(rows: DataFrame) -> DataFrame:
-        """Tokens whose units lie in more than one component."""
-        return rows.groupBy("token").agg(F.min("comp").alias("root"), F.max("comp").alias("last")).filter("root < last").select("token", "root")
-
-    def add(pairs: DataFrame) -> bool:
-        nonlocal comps, links, checked
-        pairs = stored(pairs)
-        if pairs.isEmpty():
-            return False
-        checked = pairs if checked is None else checked.union(pairs)
-        found = stored(_opened(pairs, units))
-        if found.isEmpty():
-            return False
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        comps = stored(units.select("unit").join(joined.withColumnRenamed("node", "unit"), "unit", "left").select("unit", F.coalesce("component", "unit").alias("comp")))
-        return True
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        return pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti")
-
-    for _ in range(8):
-        rows = labelled()
-        stars = rows.join(apart(rows), "token").filter("comp <> root").select(F.col("root").alias("a"), F.col("unit").alias("b")).distinct()
-        if not add(fresh(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())):
-            break
-    rows = labelled()
-    open_rows = stored(rows.join(apart(rows).select("token"), "token"))
-    left = open_rows.select("token", F.col("unit").alias("a"), F.col("comp").alias("ca"), F.col("need").alias("na"))
-    right = open_rows.select("token", F.col("unit").alias("b"), F.col("comp").alias("cb"), F.col("need").alias("nb"))
-    pairs = left.join(right, "token").filter("a < b AND ca <> cb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("na", "nb")).alias("need"))
-    add(fresh(pairs.filter("shared >= need").select("a", "b")))
+    comps = stored(matrix.select("unit").distinct().withColumn("comp", F.col("unit")))
+    owner = _owners(matrix, units)
+    sets = units.select("unit", "sizes", "tokens")
+
+    def merge(rows: DataFrame) -> None:
+        """Joins components by what opening the rows finds."""
+        nonlocal comps
+        with short_batches(matrix.sparkSession, OPENED):
+            links = stored(_opened(rows))
+        if not links.isEmpty():
+            joined = components(links).select(F.col("node").alias("comp"), "component")
+            comps = stored(_joined(comps, joined, "comp", "left").select("unit", F.coalesce("component", "comp").alias("comp")))
+
+    several = owner.groupBy("gid").count().filter("count > 1").select("gid")
+    alone = _joined(_joined(owner, several, "gid"), sets, "unit").groupBy("gid").agg(F.collect_list(F.struct(F.col("unit").alias("comp"), "sizes", "tokens")).alias("members"))
+    merge(alone.withColumn("others", F.expr(f"cast(array() as {_MEMBERS})")))
+    own = stored(_joined(matrix, owner, "unit"))
+    union = own.select("token", F.col("gid").alias("to")).distinct()
+    union = _joined(union, union.groupBy("token").count().filter("count > 1").select("token"), "token")
+    bound = _joined(own, union, "token").filter("gid <> to").groupBy("unit", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+    able = _joined(bound.filter("shared >= need"), comps, "unit")
+    able = stored(able.select("unit", "comp", F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"), (F.col("gid") < F.col("to")).alias("first")))
+    both = able.groupBy("a", "b").agg(F.min("first").alias("f"), F.max("first").alias("t"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    rows = _joined(_joined(able, both.filter("NOT f AND t AND low < high").select("a", "b"), ["a", "b"]), sets, "unit")
+    member = F.struct("comp", "sizes", "tokens")
+    merge(rows.groupBy("a", "b").agg(*[F.collect_list(F.when(F.col("first") == side, member)).alias(n) for side, n in ((True, "members"), (False, "others"))]))
     return comps
 
 
+def _near(docs: DataFrame, profiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """sid, need, tokens of the sets that share enough prefix tokens with others to have a partner at all."""
+    counts = profiles.filter("token IS NOT NULL").groupBy("token").agg(F.sum("often").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    frequent = top["token"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
+    rows = _shared(_prefixes(docs, frequent, _own_ids(sets)))
+    near = rows.groupBy("sid").agg(F.min("need").alias("need"), F.collect_list("token").alias("tokens"))
+    return stored(near.filter(F.size("tokens") >= F.col("need")))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    signed_rows = signatures(docs, frequent_tokens(docs)).filter("fp IS NOT NULL")
-    one = signed_rows.groupBy("fp").agg(*[F.min(c).alias(c) for c in ("doc_id", "key", "need")], F.first("prefix").alias("prefix"))
-    sets = stored(one.withColumn("sid", F.monotonically_increasing_id()))
-    tokens = sets.select(F.explode("prefix").alias("token"), "sid", "need")
-    shared = tokens.groupBy("token").count().filter("count > 1").select("token")
-    near = stored(tokens.join(shared, "token"))
-    ids = stored(near.select("sid").distinct().join(sets.select("sid", "doc_id", "fp", "key", "need"), "sid"))
+    profiles = stored(_profiles(docs))
+    rows = profiles.filter("token IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "fp", "sid", "key", "need")
+    sets = stored(rows.filter("fp IS NOT NULL").groupBy("fp").agg(*[F.min(c).alias(c) for c in ("doc_id", "sid", "key", "need")]))
+    near = _near(docs, profiles, sets)
+    new = _own_ids(sets)
+    if new:
+        renamed = docs.sparkSession.createDataFrame([(bytearray(k), v) for k, v in new.items()], "fp binary, new long")
+        sets = stored(sets.join(F.broadcast(renamed), "fp", "left").withColumn("sid", F.coalesce("new", "sid")).drop("new"))
+    ids = stored(_joined(near.select("sid"), sets, "sid").select("sid", "doc_id", "fp", "key", "need"))
     parts = ids.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    grouped = ids.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    wanted = ids.select(F.col("doc_id").alias("_id"), "sid", "fp")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    members = grouped.select("sid", "key", "part", "need").join(_tokens(texts), "sid")
-    units = stored(members.groupBy("key", "part").applyInArrow(_units, _UNITS))
-    owner = units.select("unit", F.col("need").alias("need"), F.explode("sids").alias("sid"))
-    matrix = stored(near.select("token", "sid").join(owner, "sid").select("token", "unit", "need").distinct())
-    comps = _connected(matrix, units)
-    label = owner.join(comps, "unit").select("sid", "comp").join(ids.select("sid", "doc_id", "fp"), "sid")
+    grouped = _joined(ids, parts, "key").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    wanted = grouped.select(F.col("doc_id").alias("_id"), "sid", "fp", "key", "part", "need")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    units = stored(_tokens(texts).groupBy("key", "part").applyInArrow(_units, _UNITS))
+    owner = stored(units.select("unit", "need", F.explode("sids").alias("sid")))
+    matrix = _joined(near.select("sid", "tokens"), owner, "sid").select(F.explode("tokens").alias("token"), "unit", "need")
+    comps = _connected(stored(matrix.distinct()), units)
+    label = _joined(_joined(owner, comps, "unit", "left").select("sid", F.coalesce("comp", "unit").alias("comp")), ids.select("sid", "doc_id", "fp"), "sid")
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = label.join(least, "comp").select("fp", "component_id")
-    every = sets.select("fp", "doc_id").join(linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    rows = _fingerprints(docs)
-    out = rows.join(every, F.col("fp") == F.col("_fp"), "left")
+    linked = _joined(label, least, "comp").select("fp", "component_id")
+    every = _joined(sets.select("fp", "doc_id"), linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(every.hint("merge"), F.col("fp") == F.col("_fp"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
