@@ -59,9 +59,18 @@ def _repeat_words(windows: Column) -> Column:
         gaps = lambda p: F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(WINDOW), F.get(p, k + 1) - x), F.lit(WINDOW)))
         return let(at, lambda p: F.aggregate(gaps(p), F.lit(0), lambda a, x: a + x))
 
-    pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    repeated = F.size(F.array_distinct(windows)) < F.size(windows)
-    return F.when(repeated, let(F.sort_array(pairs), covered)).otherwise(F.lit(0)).cast("long")
+    def counted(w: Column) -> Column:
+        pairs = F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(F.sort_array(pairs), covered)).otherwise(F.lit(0))
+
+    return let(windows, counted).cast("long")
+
+
+def _windows(hashes: Column) -> Column:
+    """Hashes of all runs of WINDOW words, from the words' hashes."""
+    starts = F.sequence(F.lit(0), F.size(hashes) - WINDOW)
+    runs = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+    return F.when(F.size(hashes) >= WINDOW, runs).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -80,13 +89,10 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(stop))).cast("long").alias("n_stop_words"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        # bound once even where a later filter moves these expressions below this projection
+        let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: _repeat_words(_windows(h))).alias("n_repeat_words"),
     )
-    starts = F.sequence(F.lit(0), F.size("hashes") - WINDOW)
-    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(WINDOW)]))
-    windows = F.when(F.size("hashes") >= WINDOW, windows).otherwise(F.expr("cast(array() as array<bigint>)"))
-    three = two.withColumn("windows", windows).drop("hashes")
-    return three.withColumn("n_repeat_words", _repeat_words(F.col("windows"))).drop("windows")
+    return two
 
 
 def compiled(rules: tuple[Rule, ...]) -> Column:
