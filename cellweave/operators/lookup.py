@@ -51,20 +51,20 @@ def lookup_table(points: DataFrame, keys: Sequence[str], step: float, sigma: flo
     return spread.groupBy(*keys, (F.col("ix") + F.col("k.c")).alias("ix"), (F.col("iy") + F.col("k.r")).alias("iy")).agg(F.max("k.v").cast("long").alias("score"))
 
 
-def candidates(rotation_range: float = 1.6, rotation_step: float = 0.2, shift_range: float = 4.0, shift_step: float = 0.5) -> tuple[Column, Column]:
-    """Literals to explode: rotations, and shifts in whole cells with their metres. The steps are counted, not accumulated."""
+def candidates(rotation_range: float = 1.6, rotation_step: float = 0.2, shift_range: float = 4.0, shift_step: float = 0.5) -> tuple[Column, int, int]:
+    """Rotations as a literal to explode, and the first and last shift in whole cells. The steps are counted, not accumulated."""
     n_rot, n_shift = math.ceil(2 * rotation_range / rotation_step - 1e-9), math.ceil(2 * shift_range / shift_step - 1e-9)
-    rotations = F.array(*[F.lit(-rotation_range + i * rotation_step) for i in range(n_rot)])
-    shifts = [-shift_range + i * shift_step for i in range(n_shift)]
-    return rotations, F.array(*[F.struct(F.lit(s).alias("m"), F.lit(math.floor(s / shift_step)).alias("cells")) for s in shifts])
+    first = math.floor(-shift_range / shift_step)
+    return F.array(*[F.lit(-rotation_range + i * rotation_step) for i in range(n_rot)]), first, first + n_shift - 1
 
 
 def correlative_scores(source: DataFrame, target: DataFrame, keys: Sequence[str], step: float = 0.5, rotation_range: float = 1.6, rotation_step: float = 0.2, shift_range: float = 4.0, fix_border: bool = False) -> DataFrame:
     """theta, dx, dy, score for every candidate that meets an occupied cell.
 
-    Points fall to table cells and are counted there first, so a candidate joins cells, not points.
+    Points fall to table cells and are counted there first. A source cell and an occupied target cell fix one shift, so their
+    pairs within a scan are summed by shift; shifts that meet nothing never arise. The range must be a multiple of the step.
     """
-    rotations, shifts = candidates(rotation_range, rotation_step, shift_range, step)
+    rotations, first, last = candidates(rotation_range, rotation_step, shift_range, step)
     border = max(r for r, _, _ in kernel(step, 0.5)) if fix_border else 0
     frame = table_frame(target, keys, step)
     rows = source.withColumn("theta", F.explode(rotations))
@@ -72,10 +72,11 @@ def correlative_scores(source: DataFrame, target: DataFrame, keys: Sequence[str]
     rows = rows.withColumns({"rx": c * F.col("x") - s * F.col("y"), "ry": s * F.col("x") + c * F.col("y")}).join(frame, list(keys))
     ix, iy = table_index(F.col("rx"), F.col("ry"), step, border)
     held = rows.groupBy(*keys, "theta", ix.alias("ix"), iy.alias("iy")).agg(F.count(F.lit(1)).alias("points"))
-    moved = held.withColumn("sx", F.explode(shifts)).withColumn("sy", F.explode(shifts))
-    moved = moved.withColumns({"ix": F.col("ix") + F.col("sx.cells"), "iy": F.col("iy") - F.col("sy.cells")})
-    joined = moved.join(lookup_table(target, keys, step), [*keys, "ix", "iy"])
-    sums = joined.groupBy(*keys, "theta", F.col("sx.m").alias("dx"), F.col("sy.m").alias("dy")).agg(F.sum(F.col("points") * F.col("score")).alias("total"))
+    table = lookup_table(target, keys, step).withColumnsRenamed({"ix": "tx", "iy": "ty"})
+    pairs = held.join(table, list(keys)).withColumns({"cx": F.col("tx") - F.col("ix"), "cy": F.col("iy") - F.col("ty")})
+    pairs = pairs.filter(F.col("cx").between(first, last) & F.col("cy").between(first, last))
+    sums = pairs.groupBy(*keys, "theta", "cx", "cy").agg(F.sum(F.col("points") * F.col("score")).alias("total"))
+    sums = sums.withColumns({"dx": F.col("cx") * step, "dy": F.col("cy") * step})
     out = sums.join(frame.select(*keys, "n_target"), list(keys))
     return out.select(*keys, "theta", "dx", "dy", (F.col("total") / (OCCUPIED * F.col("n_target"))).alias("score"))
 

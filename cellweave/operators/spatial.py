@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators import voxel
+from cellweave.storage import stored
 
 
 def offsets(radius: int) -> Column:
@@ -40,14 +41,15 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: Sequence[str], k: int,
     """For queries (keys, qid, qx, qy) the k nearest targets (keys, tid, tx, ty): adds tid, d2 and place (1 to k).
 
     Blocks of growing radius are joined by key. A query is done once its k-th neighbour is nearer than anything outside its
-    block can be, or its block covers all targets of its grid; the rest go on with a doubled radius.
+    block can be, or its block covers all targets of its grid; the rest go on with a doubled radius. Each round is stored, so
+    none is computed twice.
     """
     tx, ty = voxel.cell_key(F.col("tx"), F.col("ty"), size)
     targets = targets.withColumns({"cx": tx, "cy": ty})
     box = targets.groupBy(*keys).agg(*[f(c).alias(n) for f, c, n in ((F.min, "cx", "x0"), (F.max, "cx", "x1"), (F.min, "cy", "y0"), (F.max, "cy", "y1"))])
     qx, qy = voxel.cell_key(F.col("qx"), F.col("qy"), size)
     left = queries.withColumns({"qcx": qx, "qcy": qy})
-    left = left.join(box, list(keys)) if keys else left.crossJoin(F.broadcast(box))  # one row
+    left = stored(left.join(box, list(keys)) if keys else left.crossJoin(F.broadcast(box)))  # without keys, box is one row
     best = Window.partitionBy(*keys, "qid").orderBy("d2", "tid")
     outside = F.greatest(F.abs(F.col("qcx") - F.col("x0")), F.abs(F.col("qcx") - F.col("x1")), F.abs(F.col("qcy") - F.col("y0")), F.abs(F.col("qcy") - F.col("y1")))
     done = None
@@ -59,11 +61,11 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: Sequence[str], k: int,
         safe = (rings * size) ** 2
         whole = Window.partitionBy(*keys, "qid")
         sure = found.withColumn("kth", F.max(F.when(F.col("place") == k, F.col("d2"))).over(whole)).filter((outside <= rings) | (F.col("kth") < safe))
-        sure = sure.select(*keys, "qid", "qx", "qy", "tid", "d2", "place")
+        sure = stored(sure.select(*keys, "qid", "qx", "qy", "tid", "d2", "place"))
         done = sure if done is None else done.unionByName(sure)
         if rings >= span:
             return done
-        left = left.filter(outside > rings).join(sure.select(*keys, "qid").distinct(), [*keys, "qid"], "left_anti")
+        left = stored(left.filter(outside > rings).join(sure.select(*keys, "qid").distinct(), [*keys, "qid"], "left_anti"))
         if left.isEmpty():
             return done
         rings = min(2 * rings, span)
