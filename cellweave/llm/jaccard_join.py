@@ -258,8 +258,8 @@ def _opened(rows: DataFrame) -> DataFrame:
 def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
     """unit, comp: components of the matrix's units under similarity of any of their sets.
 
-    Every group is opened first. A query unit then qualifies for another group if its prefix shares enough tokens with that
-    group's union. Two groups are opened to each other where units of both qualify, with these units only, unless they are
+    Every group is opened first. Of groups whose unions share enough tokens, a query unit then qualifies for another group if
+    its own prefix shares enough of them with that group's union. Two groups are opened to each other where units of both qualify, with these units only, unless they are
     all of one component by then.
     """
     comps = stored(matrix.select("unit").distinct().withColumn("comp", F.col("unit")))
@@ -280,8 +280,15 @@ def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
     merge(alone.withColumn("others", F.expr(f"cast(array() as {_MEMBERS})")))
     own = stored(_joined(matrix, owner, "unit"))
     union = own.select("token", F.col("gid").alias("to")).distinct()
-    union = _joined(union, union.groupBy("token").count().filter("count > 1").select("token"), "token")
-    bound = _joined(own, union, "token").filter("gid <> to").groupBy("unit", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+    union = stored(_joined(union, union.groupBy("token").count().filter("count > 1").select("token"), "token"))
+    least = own.groupBy("gid").agg(F.min("need").alias("need"))
+    side = lambda x: _joined(union.withColumnRenamed("to", "gid"), least, "gid").select("token", F.col("gid").alias(x), F.col("need").alias(f"n{x}"))
+    pairs = _joined(side("a"), side("b"), "token").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("na", "nb")).alias("need"))
+    pairs = stored(pairs.filter("shared >= need").select("a", "b"))
+    linked = stored(pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct())
+    queries = _joined(own, linked, "gid", "left_semi")
+    bound = _joined(queries, _joined(union, linked.withColumnRenamed("gid", "to"), "to", "left_semi"), "token").filter("gid <> to")
+    bound = bound.groupBy("unit", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
     able = _joined(bound.filter("shared >= need"), comps, "unit")
     able = stored(able.select("unit", "comp", F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"), (F.col("gid") < F.col("to")).alias("first")))
     both = able.groupBy("a", "b").agg(F.min("first").alias("f"), F.max("first").alias("t"), F.min("comp").alias("low"), F.max("comp").alias("high"))
