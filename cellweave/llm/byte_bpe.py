@@ -1,6 +1,6 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of a block's distinct words.
 
-Consecutive documents of a task form a block of BLOCK bytes of text. Python splits the texts by the vocabulary's pattern and
+Consecutive documents of a task form a block of BLOCK characters. Python splits the texts by the vocabulary's pattern and
 lists the block's distinct words; a Spark projection folds the merges of each word once, with the ranks as a literal map,
 and decodes the ids through a literal array of pieces; Python then lays the words' ids out for each document. Nothing is
 shuffled, and a lost task repeats its own blocks only. Bytes stand as two hex digits each within the projection.
@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import table
 from cellweave.llm.quality import let
 
-BLOCK = 128 << 20  # bytes of text
-MERGED_SPLITS = 4  # input splits that one task reads, where there are enough
+BLOCK = 12 << 20  # characters of text
 BUCKETS = 1 << 14  # maps into which the ranks are dealt by CRC-32, as a lookup goes through its map entry by entry
 NO_RANK = 1 << 30
 
@@ -152,9 +151,7 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    splits = rows.rdd.getNumPartitions()
-    wanted = max(docs.sparkSession.sparkContext.defaultParallelism, -(-splits // MERGED_SPLITS))
-    return (rows.coalesce(wanted) if wanted < splits else rows).mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, schema)
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_LIKE, with_ids: bool = True) -> DataFrame:
