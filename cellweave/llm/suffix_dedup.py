@@ -26,13 +26,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import mix64, signed, stored, table, text_batches, window_hashes, word_hashes
+from cellweave.llm.common import LOWER, SPACE, UPPER, mix64, signed, stored, table, text_batches, window_hashes, word_hashes
 
 LEAST = 50
 K = 10
 WINDOW = 21
 CORE = LEAST - WINDOW + 1
 REACH = WINDOW - 1  # words looked at on each side of the core
+NEAR = 8  # neighbours compared on each side
 BITS = 27  # of the table that says which cores may be shared; a fixed size, whose false hits only cost time
 CHUNK = 1 << 20
 
@@ -133,7 +134,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _neighbours(contexts: DataFrame, side: str) -> DataFrame:
     """core, before, after, left, right: contexts that match their neighbour, sorted by core and a side, over LEAST words.
 
-    Each partition is read in order; only the last row is kept back.
+    Each partition is read in order; only the last NEAR rows are kept back.
     """
     schema = "core long, before binary, after binary, left int, right int"
 
@@ -143,15 +144,21 @@ def _neighbours(contexts: DataFrame, side: str) -> DataFrame:
             if not whole.num_rows:
                 continue
             batch = whole if last is None else pa.Table.from_batches([last, whole]).combine_chunks().to_batches()[0]
-            last = whole.slice(whole.num_rows - 1)
+            last = batch.slice(max(0, batch.num_rows - NEAR))
             core, least, most = (batch.column(i).to_numpy() for i in (0, 3, 4))
             before, after = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(core), -1) for i in (1, 2))
-            near = np.flatnonzero((core[1:] == core[:-1]) & ~((least[1:] == most[1:]) & (least[:-1] == most[:-1]) & (least[1:] == least[:-1])))
-            left, right = _common(before[near], before[near + 1]), _common(after[near], after[near + 1])
-            long_enough = left + CORE + right >= LEAST
-            near, left, right = near[long_enough], left[long_enough], right[long_enough]
-            rows = batch.take(pa.array(np.concatenate((near, near + 1))))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(np.tile(left, 2)), pa.array(np.tile(right, 2))], names=[x.split()[0] for x in schema.split(", ")])
+            one = least == most
+            pairs, lefts, rights = [], [], []
+            for off in range(1, min(NEAR, len(core) - 1) + 1):
+                near = np.flatnonzero((core[off:] == core[:-off]) & ~(one[off:] & one[:-off] & (least[off:] == least[:-off])))
+                left, right = _common(before[near], before[near + off]), _common(after[near], after[near + off])
+                enough = left + CORE + right >= LEAST
+                pairs += [near[enough], near[enough] + off]
+                lefts += [left[enough]] * 2
+                rights += [right[enough]] * 2
+            if pairs:
+                rows = batch.take(pa.array(np.concatenate(pairs)))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(np.concatenate(lefts)), pa.array(np.concatenate(rights))], names=[x.split()[0] for x in schema.split(", ")])
 
     rows = contexts.repartition("core").sortWithinPartitions("core", side)
     return rows.select("core", "before", "after", "least", "most").mapInArrow(compare, schema)
@@ -188,4 +195,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_suffix_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^{SPACE}]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, k, array_to_string(w[k:k + {LEAST - 1}], ' ') AS x FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {LEAST - 2})) AS k FROM d)),
+s AS (SELECT rid, doc_id, k FROM (SELECT *, min(rid) OVER (PARTITION BY x) AS lo, max(rid) OVER (PARTITION BY x) AS hi FROM g) WHERE lo < hi),
+i AS (SELECT *, sum(CASE WHEN k > before + {LEAST} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY k) AS part FROM (SELECT *, lag(k) OVER (PARTITION BY rid ORDER BY k) AS before FROM s))
+SELECT doc_id, (min(k) - 1)::BIGINT AS start_word, (max(k) + {LEAST - 1})::BIGINT AS end_word, (max(k) - min(k) + {LEAST})::BIGINT AS n_words FROM i GROUP BY rid, doc_id, part"""
+}
