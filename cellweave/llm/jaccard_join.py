@@ -215,12 +215,12 @@ _MEMBERS = "array<struct<comp:bigint,sizes:array<int>,tokens:binary>>"
 
 
 def _owners(matrix: DataFrame, units: DataFrame) -> DataFrame:
-    """unit, gid. Units whose most widely shared token is the same form a group, split to about GROUP sets."""
+    """unit, gid, and the sizes (low, high) of the unit's sets. Units whose most widely shared token is the same form a group, split to about GROUP sets."""
     wide = _joined(matrix, matrix.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
     key = wide.groupBy("unit").agg(F.max_by("token", F.struct("n", "token")).alias("key"))
-    sized = _joined(key, units.select("unit", F.size("sids").alias("sets")), "unit")
+    sized = _joined(key, units.select("unit", F.size("sids").alias("sets"), F.array_min("sizes").alias("low"), F.array_max("sizes").alias("high")), "unit")
     parts = sized.groupBy("key").agg(F.ceil(F.sum("sets") / GROUP).alias("parts"))
-    return stored(_joined(sized, parts, "key").select("unit", F.xxhash64("key", F.pmod(F.xxhash64("unit"), F.col("parts"))).alias("gid")))
+    return stored(_joined(sized, parts, "key").select("unit", F.xxhash64("key", F.pmod(F.xxhash64("unit"), F.col("parts"))).alias("gid"), "low", "high"))
 
 
 def _opened(rows: DataFrame) -> DataFrame:
@@ -281,14 +281,17 @@ def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
     own = stored(_joined(matrix, owner, "unit"))
     union = own.select("token", F.col("gid").alias("to")).distinct()
     union = stored(_joined(union, union.groupBy("token").count().filter("count > 1").select("token"), "token"))
-    least = own.groupBy("gid").agg(F.min("need").alias("need"))
-    side = lambda x: _joined(union.withColumnRenamed("to", "gid"), least, "gid").select("token", F.col("gid").alias(x), F.col("need").alias(f"n{x}"))
-    pairs = _joined(side("a"), side("b"), "token").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("na", "nb")).alias("need"))
-    pairs = stored(pairs.filter("shared >= need").select("a", "b"))
-    linked = stored(pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct())
-    queries = _joined(own, linked, "gid", "left_semi")
-    bound = _joined(queries, _joined(union, linked.withColumnRenamed("gid", "to"), "to", "left_semi"), "token").filter("gid <> to")
-    bound = bound.groupBy("unit", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+    least = own.groupBy("gid").agg(F.min("need").alias("need"), F.min("low").alias("low"), F.max("high").alias("high"))
+    each = _joined(union.withColumnRenamed("to", "gid"), least, "gid")
+    side = lambda x: each.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "need", "low", "high")])
+    alike = F.expr(f"100 * high_a >= {SIMILARITY} * low_b AND 100 * high_b >= {SIMILARITY} * low_a")  # the sets' sizes
+    pairs = _joined(side("a"), side("b"), "token").filter(F.expr("gid_a < gid_b") & alike)
+    pairs = pairs.groupBy("gid_a", "gid_b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    pairs = stored(pairs.filter("shared >= need").select("gid_a", "gid_b"))
+    linked = stored(pairs.select(F.col("gid_a").alias("gid")).union(pairs.select("gid_b")).distinct())
+    queries = _joined(own, linked, "gid", "left_semi").withColumnsRenamed({"low": "low_a", "high": "high_a"})
+    bound = _joined(queries, _joined(side("b"), linked.withColumnRenamed("gid", "gid_b"), "gid_b", "left_semi"), "token").filter(F.expr("gid <> gid_b") & alike)
+    bound = bound.select("unit", "gid", F.col("gid_b").alias("to"), "need").groupBy("unit", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
     able = _joined(bound.filter("shared >= need"), comps, "unit")
     able = stored(able.select("unit", "comp", F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"), (F.col("gid") < F.col("to")).alias("first")))
     both = able.groupBy("a", "b").agg(F.min("first").alias("f"), F.max("first").alias("t"), F.min("comp").alias("low"), F.max("comp").alias("high"))
