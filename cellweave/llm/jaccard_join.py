@@ -288,10 +288,11 @@ def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
     pairs = _joined(side("a"), side("b"), "token").filter(F.expr("gid_a < gid_b") & alike)
     pairs = pairs.groupBy("gid_a", "gid_b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
     pairs = stored(pairs.filter("shared >= need").select("gid_a", "gid_b"))
-    linked = stored(pairs.select(F.col("gid_a").alias("gid")).union(pairs.select("gid_b")).distinct())
-    queries = _joined(own, linked, "gid", "left_semi").withColumnsRenamed({"low": "low_a", "high": "high_a"})
-    bound = _joined(queries, _joined(side("b"), linked.withColumnRenamed("gid", "gid_b"), "gid_b", "left_semi"), "token").filter(F.expr("gid <> gid_b") & alike)
-    bound = bound.select("unit", "gid", F.col("gid_b").alias("to"), "need").groupBy("unit", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+    either = pairs.select(F.col("gid_a").alias("gid"), "gid_b").union(pairs.select("gid_b", "gid_a"))
+    targets = _joined(side("b").select("token", "gid_b", "low_b", "high_b"), either, "gid_b")  # each group's partners' unions
+    queries = own.withColumnsRenamed({"low": "low_a", "high": "high_a"})
+    bound = _joined(queries, targets, ["token", "gid"]).filter(alike).select("unit", "gid", F.col("gid_b").alias("to"), "need")
+    bound = bound.groupBy("unit", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
     able = _joined(bound.filter("shared >= need"), comps, "unit")
     able = stored(able.select("unit", "comp", F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"), (F.col("gid") < F.col("to")).alias("first")))
     both = able.groupBy("a", "b").agg(F.min("first").alias("f"), F.max("first").alias("t"), F.min("comp").alias("low"), F.max("comp").alias("high"))
