@@ -135,7 +135,8 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
             row = (ids, sizes, np.concatenate(places).tobytes() if places else b"", words)
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], names=names)
 
-        for batch in batches:
+        short = (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256))
+        for batch in short:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = split_text(text, slow) if text else []
                 for w in set(words).difference(known):
