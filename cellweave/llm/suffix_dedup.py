@@ -2,10 +2,11 @@
 
 Only suffixes at content-selected places are kept: of every WINDOW successive runs of K words, the start of the run with the
 least hash. Equal passages select equal places, and the first place in a passage of LEAST words leaves at least CORE of them
-to its right. The kept suffixes are sorted, by the hash of their first CORE words and then by the words that follow;
-neighbours are compared, and the match is extended over the words to the right and to the left. A second order, by the words
-to the left, finds neighbours whose match lies more to that side. Matches of places overlap in a long passage, so their
-union is the passage.
+to its right. So each window of LEAST words that stands in several documents holds a place with l words to its left, its
+core, and the words to the right that make up LEAST. The kept suffixes are sorted by the hash of their core; those that share
+one are grouped, for every l, by the words of that window, which needs no pairs. A core with more than MOST contexts is
+grouped by Spark instead of in one task. Windows of neighbouring places overlap in a long passage, so their union is the
+passage.
 
 Copies of a place with the same words around it collapse before they are sorted, so a passage that stands in many documents
 reaches the sort once. Words are split at white space with A-Z lower-cased and compared by hashes: 64 bits over the core, 16
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import LOWER, SPACE, UPPER, mix64, signed, stored, table, text_batches, window_hashes, word_hashes
@@ -33,7 +34,7 @@ K = 10
 WINDOW = 21
 CORE = LEAST - WINDOW + 1
 REACH = WINDOW - 1  # words looked at on each side of the core
-NEAR = 8  # neighbours compared on each side
+MOST = 1 << 16  # contexts of a core that a task groups; those of cores with more are dealt by their windows
 BITS = 27  # of the table that says which cores may be shared; a fixed size, whose false hits only cost time
 CHUNK = 1 << 20
 
@@ -124,44 +125,79 @@ def _suffixes(docs: DataFrame, shared: Broadcast) -> DataFrame:
     return rows.mapInArrow(emit, schema)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words rows of two packed sides have in common."""
-    same = (a[:, :-1].reshape(len(a), REACH, 2) == b[:, :-1].reshape(len(b), REACH, 2)).all(axis=2)
-    run = np.where(same.all(axis=1), REACH, same.argmin(axis=1))
-    return np.minimum(run, np.minimum(a[:, -1], b[:, -1])).astype(np.int32)
+def _room(c: str) -> Column:
+    """How many words a packed side holds."""
+    return F.conv(F.hex(F.substring(c, 2 * REACH + 1, 1)), 16, 10).cast("int")
 
 
-def _neighbours(contexts: DataFrame, side: str) -> DataFrame:
-    """core, before, after, left, right: contexts that match their neighbour, sorted by core and a side, over LEAST words.
+def _grouped(contexts: DataFrame) -> DataFrame:
+    """core, before, after, left, right: contexts with a window of LEAST words that stands in several documents.
 
-    Each partition is read in order; only the last NEAR rows are kept back.
+    A window starts l words before the core, for every l that both sides have room for. Windows of a place all hold its core,
+    so their union reaches from the largest l to the least.
+    """
+    least, most = F.greatest(F.lit(0), REACH - _room("after")), F.least(F.lit(REACH), _room("before"))
+    rows = contexts.filter(least <= most).withColumn("l", F.explode(F.sequence(least, most)))
+    key = F.xxhash64(F.substring("before", F.lit(1), 2 * F.col("l")), F.substring("after", F.lit(1), 2 * (REACH - F.col("l"))))
+    rows = rows.withColumn("key", key)
+    window = ["core", "l", "key"]
+    shared = rows.groupBy(*window).agg(F.min("least").alias("lo"), F.max("most").alias("hi")).filter("lo < hi").select(*window)
+    found = rows.join(shared, window).groupBy("core", "before", "after")
+    return found.agg(F.max("l").alias("left"), (REACH - F.min("l")).alias("right"))
+
+
+def _prefixes(side: np.ndarray) -> np.ndarray:
+    """For rows of a packed side, the hash of the first l words in column l."""
+    words = side[:, :-1].copy().view(">u2").astype(np.uint64)
+    out = np.zeros((len(side), REACH + 1), np.uint64)
+    for l in range(REACH):
+        out[:, l + 1] = mix64(out[:, l] + words[:, l] + np.uint64(1))
+    return out
+
+
+def _windows(contexts: DataFrame) -> DataFrame:
+    """The same rows as _grouped for contexts of which no core has many.
+
+    Each partition is read in order; only the rows of the last core are kept back.
     """
     schema = "core long, before binary, after binary, left int, right int"
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reaches(batch: pa.RecordBatch) -> pa.RecordBatch:
+        core, least, most = (batch.column(i).to_numpy() for i in (0, 3, 4))
+        before, after = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(core), -1) for i in (1, 2))
+        own, lefts, rights = mix64(core.view(np.uint64)), _prefixes(before), _prefixes(after)
+        left, right = np.full(len(core), -1, np.int32), np.zeros(len(core), np.int32)
+        for l in range(REACH + 1):
+            rows = np.flatnonzero((before[:, -1] >= l) & (after[:, -1] >= REACH - l))
+            if not len(rows):
+                continue
+            key = mix64(mix64(own[rows] + lefts[rows, l]) + rights[rows, REACH - l])
+            order = np.argsort(key)
+            key, rows = key[order], rows[order]
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            several = np.minimum.reduceat(least[rows], start) < np.maximum.reduceat(most[rows], start)
+            rows = rows[np.repeat(several, np.diff(np.append(start, len(rows))))]
+            left[rows] = l
+            right[rows] = np.maximum(right[rows], REACH - l)
+        at = np.flatnonzero(left >= 0)
+        return pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns[:3], pa.array(left[at]), pa.array(right[at])], names=[x.split()[0] for x in schema.split(", ")])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for whole in batches:
             if not whole.num_rows:
                 continue
             batch = whole if last is None else pa.Table.from_batches([last, whole]).combine_chunks().to_batches()[0]
-            last = batch.slice(max(0, batch.num_rows - NEAR))
-            core, least, most = (batch.column(i).to_numpy() for i in (0, 3, 4))
-            before, after = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(core), -1) for i in (1, 2))
-            one = least == most
-            pairs, lefts, rights = [], [], []
-            for off in range(1, min(NEAR, len(core) - 1) + 1):
-                near = np.flatnonzero((core[off:] == core[:-off]) & ~(one[off:] & one[:-off] & (least[off:] == least[:-off])))
-                left, right = _common(before[near], before[near + off]), _common(after[near], after[near + off])
-                enough = left + CORE + right >= LEAST
-                pairs += [near[enough], near[enough] + off]
-                lefts += [left[enough]] * 2
-                rights += [right[enough]] * 2
-            if pairs:
-                rows = batch.take(pa.array(np.concatenate(pairs)))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(np.concatenate(lefts)), pa.array(np.concatenate(rights))], names=[x.split()[0] for x in schema.split(", ")])
-
-    rows = contexts.repartition("core").sortWithinPartitions("core", side)
-    return rows.select("core", "before", "after", "least", "most").mapInArrow(compare, schema)
+            core = batch.column(0).to_numpy()
+            at = int(np.argmax(core == core[-1]))
+            if at:
+                yield reaches(batch.slice(0, at))
+            last = batch.slice(at)
+        if last is not None:
+            yield reaches(last)
+
+    rows = contexts.repartition("core").sortWithinPartitions("core")
+    return rows.select("core", "before", "after", "least", "most").mapInArrow(group, schema)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -170,13 +206,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     suffixes = stored(_suffixes(docs, shared))
     context = ["core", "before", "after"]
     contexts = stored(suffixes.groupBy(*context).agg(F.min("rid").alias("least"), F.max("rid").alias("most")))
-    room = lambda c: F.conv(F.hex(F.substring(c, 2 * REACH + 1, 1)), 16, 10).cast("int")
-    equal = contexts.filter("least < most").select(*context, room("before").alias("left"), room("after").alias("right"))
-    equal = equal.filter(F.col("left") + CORE + F.col("right") >= LEAST)
-    found = equal.union(_neighbours(contexts, "after")).union(_neighbours(contexts, "before"))
-    reach = found.groupBy(*context).agg(F.collect_set(F.struct("left", "right")).alias("m"))  # (REACH + 1)^2 values at most
-    spans = suffixes.join(reach, context).select("rid", "doc_id", "at", F.explode("m").alias("m"))
-    spans = spans.select("rid", "doc_id", (F.col("at") - F.col("m.left")).alias("s"), (F.col("at") + CORE + F.col("m.right")).alias("e"))
+    crowded = stored(contexts.groupBy("core").count().filter(F.col("count") > MOST).select("core"))
+    few, many = contexts.join(crowded, "core", "left_anti"), contexts.join(crowded, "core", "left_semi")
+    reach = _windows(few).union(_grouped(many))  # a row for each context at most
+    spans = suffixes.join(reach, context)
+    spans = spans.select("rid", "doc_id", (F.col("at") - F.col("left")).alias("s"), (F.col("at") + CORE + F.col("right")).alias("e"))
     # overlapping spans of a document become one; a document has as many as it has places at most
     ordered = F.array_sort(F.collect_set(F.struct("s", "e")))
 

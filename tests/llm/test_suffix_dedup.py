@@ -3,6 +3,8 @@
 import collections
 import random
 
+import pytest
+
 from cellweave.llm import suffix_dedup
 
 SCHEMA = "doc_id bigint, text string, core int, at string"
@@ -48,6 +50,18 @@ def test_passages_equal_brute_force(spark):
     assert found(spark, rows) == brute_force(rows)
 
 
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 20])
+def test_a_core_with_many_contexts_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    rng = random.Random(5)
+    passage = prose(rng, 42)
+    lefts, rights = ([prose(rng, 5) for _ in range(10)] for _ in range(2))
+    rows = [(i, " ".join(prose(rng, 30) + rng.choice(lefts) + passage + rng.choice(rights) + prose(rng, 30))) for i in range(300)]
+    rows += [(1000 + i, " ".join(prose(rng, i) + lefts[0] + passage + rights[0])) for i in range(3)]
+    rows += [(2000 + i, " ".join(lefts[1] + passage + rights[1] + prose(rng, i))) for i in range(3)]
+    assert found(spark, rows) == brute_force(rows)
+
+
 def test_no_rows_no_passages(spark):
     assert not found(spark, [(1, "a b c"), (2, None)])
     assert suffix_dedup.repeated_passages(table(spark, [(1, "a")]).limit(0)).count() == 0
