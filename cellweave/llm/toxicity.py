@@ -32,7 +32,6 @@ VOCABULARY = 4096  # terms, at most
 PIECES = (4, 5, 6)  # lengths in bytes of the leading pieces that are terms beside the whole word
 LEAST_ROWS = 3  # examples that hold a term of the vocabulary, at least
 LEAST_CHI2 = 15.0
-SHARE_OF_BEST = 0.08  # of the largest chi squared, at least; leaves out the words of a few near copies
 NEIGHBOURS = 15
 SMOOTHING = 0.2  # similarity with which the overall share of label 1 votes
 CUTOFF = 0.7
@@ -173,7 +172,7 @@ def _vocabulary(sample: DataFrame) -> dict[bytes, int]:
     chi2 = F.expr(f"{n}D * pow(a * ({n0}D - b) - b * ({n1}D - a), 2) / ((a + b) * ({n}D - a - b) * {n1}D * {n0}D)")
     best = counts.filter(F.col("a") + F.col("b") >= LEAST_ROWS).filter(F.col("a") + F.col("b") < n).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
     rows = best.orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()
-    return {bytes(r.term): i for i, r in enumerate(rows) if r.chi2 >= SHARE_OF_BEST * rows[0].chi2}
+    return {bytes(r.term): i for i, r in enumerate(rows)}
 
 
 def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:

@@ -108,6 +108,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(d.limit(0), toxicity.fitted(d.limit(0), lab)).count() == 0
 
 
+def test_a_rare_kind_of_toxicity_keeps_its_terms(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1200):
+        kind = "common" if i % 5 == 0 else "seldom" if i % 50 == 1 else None
+        w = prose(rng, 40).split()
+        if kind:
+            w[rng.randrange(len(w))] = kind
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, 1, int(kind is not None)))
+    d, lab = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fitted(d, lab)
+    assert b"common" in model.vocabulary and b"seldom" in model.vocabulary
+    caught = {r.doc_id for r in toxicity.scored(d, model).filter("held_out AND predicted = 1").collect()}
+    assert caught >= {i for i in range(1, 1200, 50) if zlib.crc32(str(i).encode()) % 3 == 1}
+
+
 # near copies
 
 
