@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,17 +202,14 @@ def find_loops(graph: PoseGraph, node: int, match: Callable[[int, int, float], t
     return found
 
 
-def optimise(spark, nodes: DataFrame, edges: DataFrame, iterations: int = 10, gain: float = 1e-6, information: tuple[float, float, float] = INFORMATION) -> tuple[DataFrame, list[float]]:
-    """Gauss-Newton over one graph: poses (id, x, y, theta) and chi2 after each round. The first node stays.
+def _solved(rows: list, links: list, iterations: int, gain: float, information: tuple[float, float, float]) -> tuple[np.ndarray, list[float]]:
+    """Gauss-Newton over the rows of one graph, in the order of their ids: poses and chi2 after each round. The first node stays.
 
-    Start poses follow the odometry from the first node where it reaches. Nodes are keyframes, some metres apart, so a graph
-    fits the driver; blocks are summed and solved there by conjugate gradients.
+    Start poses follow the odometry from the first node where it reaches. Blocks are summed and solved by conjugate gradients.
     """
-    rows = nodes.select("id", "x", "y", "theta").orderBy("id").collect()
-    links = edges.filter("state <> 'REMOVED'").select("src", "dst", "type", "dx", "dy", "dtheta").orderBy("id").collect()
     at = {r.id: i for i, r in enumerate(rows)}
     x = np.array([[r.x, r.y, r.theta] for r in rows], float).reshape(-1, 3)
-    i, j = (np.array([at[r[k]] for r in links], int) for k in ("src", "dst"))
+    i, j = (np.array([at[getattr(r, k)] for r in links], int) for k in ("src", "dst"))
     z = np.array([[r.dx, r.dy, r.dtheta] for r in links], float).reshape(-1, 3)
     seen = {0}
     for r in sorted((r for r in links if r.type == "ODOM"), key=lambda r: (r.src, r.dst)):
@@ -271,5 +269,34 @@ def optimise(spark, nodes: DataFrame, edges: DataFrame, iterations: int = 10, ga
         x = x + step
         x[:, 2] = wrap(x[:, 2])
     history.append(float((w * errors(x) ** 2).sum()) if len(links) else 0.0)
-    ids = [r.id for r in rows]
-    return spark.createDataFrame([(int(k), *map(float, v)) for k, v in zip(ids, x)], "id bigint, x double, y double, theta double"), history
+    return x, history
+
+
+_NODE, _LINK = ["id", "x", "y", "theta"], ["src", "dst", "type", "dx", "dy", "dtheta"]
+
+
+def optimise(spark, nodes: DataFrame, edges: DataFrame, iterations: int = 10, gain: float = 1e-6, information: tuple[float, float, float] = INFORMATION) -> tuple[DataFrame, list[float]]:
+    """The optimised poses (id, x, y, theta) of one graph and chi2 after each round.
+
+    Nodes are keyframes, some metres apart, so a graph fits the driver.
+    """
+    rows = nodes.select(*_NODE).orderBy("id").collect()
+    links = edges.filter("state <> 'REMOVED'").select(*_LINK).orderBy("id").collect()
+    x, history = _solved(rows, links, iterations, gain, information)
+    return spark.createDataFrame([(int(r.id), *map(float, v)) for r, v in zip(rows, x)], "id bigint, x double, y double, theta double"), history
+
+
+def optimise_each(nodes: DataFrame, edges: DataFrame, key: str = "robot", iterations: int = 10, gain: float = 1e-6, information: tuple[float, float, float] = INFORMATION) -> DataFrame:
+    """id, x, y, theta, key, chi2_first, chi2_last: every graph optimised by itself, one a task at a time."""
+
+    def solve(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        own, links = own.sort_values("id"), links.sort_values("id")
+        if not len(own):  # edges without nodes
+            return own.assign(chi2_first=0.0, chi2_last=0.0)[[*_NODE, key, "chi2_first", "chi2_last"]]
+        x, history = _solved(list(own.itertuples(index=False)), list(links.itertuples(index=False)), iterations, gain, information)
+        return own.assign(x=x[:, 0], y=x[:, 1], theta=x[:, 2], chi2_first=history[0], chi2_last=history[-1])[[*_NODE, key, "chi2_first", "chi2_last"]]
+
+    left = nodes.select(key, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in _NODE[1:]])
+    right = edges.filter("state <> 'REMOVED'").select(key, "id", *_LINK)
+    schema = f"id long, x double, y double, theta double, {key} {nodes.schema[key].dataType.simpleString()}, chi2_first double, chi2_last double"
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(solve, schema)

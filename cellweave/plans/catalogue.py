@@ -541,10 +541,7 @@ def robust_register(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pose_graph_optimize(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = b.graph(spark, sf)
-    nodes, edges = storage.stored(nodes), storage.stored(edges)
-    robot = nodes.agg(F.min("robot")).first()[0]
-    out, history = graph.optimise(spark, nodes.filter(F.col("robot") == robot), edges.filter(F.col("robot") == robot))
-    return out.withColumns({"robot": F.lit(robot), "chi2_first": F.lit(history[0]), "chi2_last": F.lit(history[-1])})
+    return graph.optimise_each(storage.stored(nodes), storage.stored(edges))
 
 
 @query(f"WITH {b.SP}, {b.cells_sql('c0', 'sp', 'scan_id, ')} SELECT scan_id, cx, cy, n, round(mx + {b.OFF_HALF}, 6) + 0.0 AS mx, round(my + {b.OFF_HALF}, 6) + 0.0 AS my, round(occ + {b.OFF_HALF}, 6) + 0.0 AS occ FROM c0")

@@ -6,7 +6,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from cellweave.plans import catalogue
+from cellweave.operators import graph
+from cellweave.plans import bindings, catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,6 +40,18 @@ def test_solvers_give_rows(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_every_graph_is_optimised(spark):
+    got = catalogue.QUERIES["pose_graph_optimize"](spark, DATA).toPandas()
+    nodes, edges = (d.toPandas() for d in bindings.graph(spark, DATA))
+    assert sorted(zip(got.robot, got.id)) == sorted(zip(nodes.robot, nodes.id)) and got.robot.nunique() > 1
+    for robot in sorted(set(got.robot))[:2]:
+        own, links = (spark.createDataFrame(d[d.robot == robot]) for d in (nodes, edges))
+        out, chi2 = graph.optimise(spark, own, links)
+        want, mine = out.toPandas().sort_values("id"), got[got.robot == robot].sort_values("id")
+        assert np.allclose(mine[["x", "y", "theta"]], want[["x", "y", "theta"]], atol=1e-6)
+        assert np.allclose(mine.chi2_first, chi2[0]) and np.allclose(mine.chi2_last, chi2[-1])
+
+
 def test_entry_file(spark):
     import __spark_entry__ as e
 
