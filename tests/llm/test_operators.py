@@ -363,7 +363,7 @@ def test_byte_bpe_equals_the_library(spark, docs, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK", 3000)
     ranks = byte_bpe.default_ranks()
     enc = tiktoken.Encoding("t", pat_str=byte_bpe.GPT2_LIKE, mergeable_ranks=ranks, special_tokens={})
-    odd = ["a" * 700, "  \n\n x", "日本語テキスト²½ Ⅷ", "don't I'LL 'tis x  y\x85z", "🙂🙂" * 30, "\x1c\x1d a", "x" + " " * 300 + "y", "<|endoftext|>", "ﬁ́ №5"]
+    odd = ["a" * 700, "".join(random.Random(2).choice("abcdef") for _ in range(3000)), "  \n\n x", "日本語テキスト²½ Ⅷ", "don't I'LL 'tis x  y\x85z", "🙂🙂" * 30, "\x1c\x1d a", "x" + " " * 300 + "y", "<|endoftext|>", "ﬁ́ №5"]
     d = docs.unionByName(documents(spark, [(5000 + i, t, "s") for i, t in enumerate(odd)]))
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in byte_bpe.encoded(d, ranks).collect())
     want = collections.Counter()
@@ -374,6 +374,27 @@ def test_byte_bpe_equals_the_library(spark, docs, monkeypatch):
     assert byte_bpe.encoded(d.limit(0), ranks).count() == 0
 
 
+def test_long_words_are_merged_in_little_time():
+    import time
+
+    import tiktoken
+
+    ranks = byte_bpe.default_ranks()
+    enc = tiktoken.Encoding("t", pat_str=byte_bpe.GPT2_LIKE, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(1 << 20))
+    began = time.time()
+    ids = byte_bpe.heap_encode(word.encode(), ranks)
+    assert time.time() - began < 60 and ids == enc.encode_ordinary(word)
+    for w in ("a", "aa", "ab" * 40, "  ", "é" * 9, "the" * 30):
+        assert byte_bpe.heap_encode(w.encode(), ranks) == enc._encode_single_piece(w.encode())
+
+
+def test_every_piece_encodes_to_itself():
+    ranks = byte_bpe.default_ranks()
+    assert all(byte_bpe.heap_encode(p, ranks) == [r] for p, r in ranks.items())
+
+
 # exact copies
 
 
