@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -73,11 +72,11 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, list[tuple[int, int]]]:
 def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """(table, starts): the rows of all left ids laid over one another in one table, so that no two pairs share a place.
 
-    table[starts[left] + right] holds left * 2^44 + rank * 2^26 for a pair, and other lefts or nothing where there is none.
+    table[starts[left] + right] holds left * 2^44 + rank * 2^26 for a pair, and another left or NO_PAIR where there is none.
     """
     pairs = pair_ranks(ranks)
     size = 1 << max(sum(map(len, pairs.values())) * 4, 1).bit_length()
-    used, cells, starts = np.zeros(size + END + 1, bool), np.full(size + END + 1, 1 << 62, np.int64), np.zeros(END + 1, np.int64)
+    used, cells, starts = np.zeros(size + END + 1, bool), np.full(size + END + 1, NO_PAIR, np.int64), np.zeros(END + 1, np.int64)
     rng = np.random.default_rng(0)
     for left in sorted(pairs, key=lambda x: -len(pairs[x])):
         right, rank = np.array(pairs[left], np.int64).T
@@ -88,20 +87,18 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return cells.tolist(), starts.tolist()
 
 
-def _literal(values: list, kind: str) -> Column:
-    """An array that is folded to one literal when the plan is made."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+def encode_words(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """rows with words, an array of binary words of at most LONG bytes each, replaced by an array of their ids.
 
-
-def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """For an array of binary words of at most LONG bytes, an array of their ids."""
+    The literal rank map is a scalar subquery of one row: of an array among the expressions, Spark would write all entries
+    into each text of the plan.
+    """
     if max(ranks.values(), default=0) >= END or any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError("the ranks must hold every byte and stay below 65535")
-    cells, starts = rank_map(ranks)
-    table_, start = _literal(cells, "bigint"), _literal(starts, "int")
-    left_part = _literal([i << LEFT_BIT for i in range(END + 1)], "bigint")
-    of_byte = _literal([ranks[bytes([i])] for i in range(256)], "bigint")
-    pair = lambda left, right: F.get(table_, F.get(start, left) + right).bitwiseXOR(F.get(left_part, left))
+    constants = rows.sparkSession.createDataFrame([(*rank_map(ranks), [ranks[bytes([i])] for i in range(256)])], "cells array<bigint>, starts array<int>, single array<bigint>")
+    held = rows.select("*", *[constants.select(c).scalar().alias(f"_{c}") for c in constants.columns])
+    cells, starts, single = (F.col(f"_{c}") for c in constants.columns)
+    pair = lambda left, right: F.get(cells, F.get(starts, left) + right).bitwiseXOR(F.shiftleft(left.cast("long"), LEFT_BIT))
     id_of = lambda entry: entry.bitwiseAND(MASK).cast("int")
     at = lambda i: F.shiftleft(i.cast("long"), ID_BITS)
 
@@ -126,10 +123,10 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
         return F.aggregate(F.slice(ids, 3, F.size(ids)), begin, step, lambda entries: F.transform(F.slice(entries, 1, F.size(entries) - 1), id_of))
 
     def encode(word: Column) -> Column:
-        single = F.transform(F.split(F.decode(word, "ISO-8859-1"), F.lit("")), lambda c: F.get(of_byte, F.ascii(c)))
-        return let(F.concat(single, F.array(F.lit(END).cast("long"))), fold)
+        ids = F.transform(F.split(F.decode(word, "ISO-8859-1"), F.lit("")), lambda c: F.get(single, F.ascii(c)))
+        return let(F.concat(ids, F.array(F.lit(END).cast("long"))), fold)
 
-    return F.transform(words, encode)
+    return held.select(*[F.transform(c, encode).alias(c) if c == "words" else c for c in rows.columns])
 
 
 def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -291,8 +288,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_LIKE,
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))[: 4 + with_ids]
     dealt = _blocks(docs, ranks, pattern).repartition("key")  # used twice, shuffled once
     shared = dealt.sortWithinPartitions("key", "block", "bucket").mapInArrow(_distinct_words, _SHARED)
-    folded = shared.select(encode_words(F.col("words"), ranks).alias("words"), "places", "blocks", "bucket", "sizes")
-    back = folded.mapInArrow(_ids_back, _BACK)
+    back = encode_words(shared, ranks).mapInArrow(_ids_back, _BACK)
     pieces = {rank: piece for piece, rank in ranks.items()}
 
     def lay_out(blocks: pa.Table, words: pa.Table) -> pa.Table:
