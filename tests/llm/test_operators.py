@@ -65,22 +65,72 @@ def test_word_hashes_tell_words_apart():
 
 def test_nearest_examples_equal_brute_force():
     rng = np.random.default_rng(0)
-    counts = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(40, rng.integers(1, 8), replace=False)} for _ in range(500)]
-    idf = rng.uniform(1, 5, 40)
-    index = toxicity.Index.of(list(range(500)), [i % 2 for i in range(500)], counts, idf)
-    unit = np.zeros((500, 40))
-    for i, c in enumerate(counts):
-        t, w = toxicity._weighted(c, idf)
-        unit[i, t] = w
-    for _ in range(30):
-        q = {int(t): int(rng.integers(1, 4)) for t in rng.choice(40, 5, replace=False)}
-        places, sims = index.nearest(q, 15)
-        t, w = toxicity._weighted(q, idf)
-        full = np.zeros(40)
-        full[t] = w
-        want = np.sort(unit @ full)[::-1][:15]
-        assert np.allclose(sims, want[: len(sims)]) and (len(sims) == 15 or want[len(sims)] == 0)
-        assert np.allclose(sims, (unit @ full)[index.ids[places]])
+    unit = np.where(rng.random((500, 40)) < 0.1, rng.uniform(1, 5, (500, 40)), 0)
+    unit[400:] = unit[:100]  # ties
+    unit /= 1 + np.linalg.norm(unit, axis=1, keepdims=True)
+    ids = rng.permutation(500)
+    index = toxicity.Index.of(ids, ids % 2, unit)
+    queries = np.where(rng.random((30, 40)) < 0.15, rng.uniform(0, 1, (30, 40)), 0)
+    places, sims = index.nearest(queries, 15)
+    for q, at, got in zip(queries, places, sims):
+        all_sims = unit @ q
+        want = sorted(((-round(s, 12), i) for s, i in zip(all_sims.tolist(), ids.tolist()) if s > 0))[:15]
+        assert [(-round(s, 12), int(index.ids[k])) for s, k in zip(got, at) if k >= 0] == want
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(160):
+        w = [f"w{rng.randrange(30)}" for _ in range(25)] + ["vilest"] * rng.choice([0, 0, 1, 3])
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, 1, int("vilest" in w and rng.random() < 0.8)))
+    rows += [(500, rows[3][1], "s"), (501, None, "s"), (502, "vilest " * 5000, "s"), (502, "vilest " * 5000, "s")]
+    d, lab = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fitted(d, lab)
+    terms = lambda t: collections.Counter(x for w in (t or "").encode().split() for x in toxicity.terms_of(w))
+    n = len(rows)
+    df = collections.Counter(x for _, t, _ in rows for x in terms(t))
+    idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1
+    voc = model.weights.vocabulary
+
+    def vector(text):
+        c, w = terms(text), {x for x in (text or "").encode().split()}
+        own = {t: (1 + math.log(k)) * idf(t) for t, k in c.items() if t in voc}
+        rest = sum(((1 + math.log(c[x])) * (idf(x) if x in model.weights.words else model.weights.rare)) ** 2 for x in w if x not in voc)
+        size = math.sqrt(sum(x * x for x in own.values()) + rest)
+        return {t: x / size for t, x in own.items()}
+
+    train, seen = [], set()
+    for (i, t, _), (_, _, y) in zip(rows, labels):
+        if zlib.crc32(str(i).encode()) % 3 != 1 and t not in seen:
+            seen.add(t)
+            train.append((i, vector(t), y))
+    share = sum(y for _, _, y in train) / len(train)
+    none = [y for _, v, y in train if not v]
+    for r in toxicity.scored(d, model).collect():
+        q = vector({i: t for i, t, _ in rows}[r.doc_id])
+        near = sorted((-round(sum(x * v.get(t, 0) for t, x in q.items()), 12), i, y) for i, v, y in train)
+        near = [x for x in near if x[0] < 0][: toxicity.NEIGHBOURS]
+        if not q:
+            assert r.score == pytest.approx(sum(none) / len(none)) and not r.evidence
+            continue
+        assert [e.doc_id for e in r.evidence] == [i for _, i, _ in near]
+        total = -sum(s for s, _, _ in near)
+        raw = (-sum(s * y for s, _, y in near) + 0.2 * share) / (total + 0.2)
+        slope, offset = model.curve
+        assert slope > 0 and r.score == pytest.approx(1 / (1 + math.exp(-(slope * math.log(raw / (1 - raw)) + offset))), abs=1e-9)
+
+
+def test_calibration_follows_the_rate():
+    rng = np.random.default_rng(5)
+    votes = rng.uniform(0.01, 0.99, 20_000)
+    labels = (rng.random(20_000) < votes**2).astype(float)
+    got = toxicity._calibrated(votes, toxicity._logistic(votes, labels))
+    for lo in np.arange(0.1, 0.9, 0.2):
+        part = (got >= lo) & (got < lo + 0.2)
+        assert abs(got[part].mean() - labels[part].mean()) < 0.06
+    assert toxicity._logistic(votes, np.zeros(20_000)) == (1.0, 0.0)
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -120,7 +170,7 @@ def test_a_rare_kind_of_toxicity_keeps_its_terms(spark):
         labels.append((i, 1, int(kind is not None)))
     d, lab = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     model = toxicity.fitted(d, lab)
-    assert b"common" in model.vocabulary and b"seldom" in model.vocabulary
+    assert b"common" in model.weights.vocabulary and b"seldom" in model.weights.vocabulary
     caught = {r.doc_id for r in toxicity.scored(d, model).filter("held_out AND predicted = 1").collect()}
     assert caught >= {i for i in range(1, 1200, 50) if zlib.crc32(str(i).encode()) % 3 == 1}
 
