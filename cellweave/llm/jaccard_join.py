@@ -35,6 +35,8 @@ FREQUENT = 1 << 17  # tokens whose frequency the order knows; any order gives th
 LOCAL = 4  # a token is reported by a task that has met it in so many documents
 CHUNK = 1 << 20  # tokens that a task counts at once
 SALTS = 16  # parts into which the rows of a frequent token are dealt
+TURNS = 4  # turns in which units are held against the units that their tokens name, at most
+PART = 64  # units of one side that are opened at once
 OPENED = 8  # groups, or pairs of groups, that a task holds at once
 
 
@@ -255,30 +257,61 @@ def _opened(rows: DataFrame) -> DataFrame:
     return rows.select("members", "others").mapInArrow(check, "a long, b long")
 
 
+def _stars(matrix: DataFrame, comps: DataFrame, units: DataFrame, turn: int) -> DataFrame:
+    """Rows (members, others) that hold, for each unit, the unit of another component most of its tokens name.
+
+    A token names one unit: of its largest component, the one whose hash is largest in this turn. So there are no more pairs
+    than units, and the units that name the same one are dealt into parts.
+    """
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    held = stored(_joined(matrix, _joined(comps, sizes, "comp"), "unit"))
+    named = held.groupBy("token").agg(F.max_by(F.struct("unit", "comp"), F.struct("size", F.xxhash64("unit", F.lit(turn)))).alias("star"))
+    pairs = _joined(held, named.select("token", F.col("star.unit").alias("star"), F.col("star.comp").alias("star_comp")), "token").filter("comp <> star_comp")
+    pairs = pairs.groupBy("unit", "comp", "need", "star", "star_comp").agg(F.count(F.lit(1)).alias("shared")).filter("2 * shared >= need")
+    best = pairs.groupBy("unit", "comp").agg(F.max_by(F.struct("star", "star_comp"), F.struct("shared", "star")).alias("to"))
+    best = stored(best.select("unit", "comp", F.col("to.star").alias("star"), F.col("to.star_comp").alias("star_comp")))
+    parts = best.groupBy("star", "star_comp").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    sets = units.select("unit", "sizes", "tokens")
+    dealt = _joined(_joined(best, parts.drop("star_comp"), "star"), sets, "unit").withColumn("part", F.pmod(F.xxhash64("unit", F.lit(turn)), F.col("parts")))
+    others = dealt.groupBy("star", "part").agg(F.collect_list(F.struct("comp", "sizes", "tokens")).alias("others"))
+    one = _joined(parts, sets.withColumnRenamed("unit", "star"), "star").select("star", F.array(F.struct(F.col("star_comp").alias("comp"), "sizes", "tokens")).alias("members"))
+    return _joined(others, one, "star")
+
+
 def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
     """unit, comp: components of the matrix's units under similarity of any of their sets.
 
-    Every group is opened first. Of groups whose unions share enough tokens, a query unit then qualifies for another group if
-    its own prefix shares enough of them with that group's union. Two groups are opened to each other where units of both qualify, with these units only, unless they are
-    all of one component by then.
+    First every group is opened, and each unit is held against the one most of its tokens name, in turns; that joins most of
+    a family in steps that grow with its size. The units of a component are then one column of the matrix, whose union has
+    each token once, and units that are still alone share a column by group. Of columns whose unions share enough tokens, a
+    query unit qualifies for another column if its own prefix shares enough of them with that column's union. Two columns
+    are opened to each other where units of both qualify, with these units only.
     """
     comps = stored(matrix.select("unit").distinct().withColumn("comp", F.col("unit")))
     owner = _owners(matrix, units)
     sets = units.select("unit", "sizes", "tokens")
 
-    def merge(rows: DataFrame) -> None:
-        """Joins components by what opening the rows finds."""
+    def merge(rows: DataFrame) -> bool:
+        """Joins components by what opening the rows finds, if anything."""
         nonlocal comps
         with short_batches(matrix.sparkSession, OPENED):
             links = stored(_opened(rows))
-        if not links.isEmpty():
-            joined = components(links).select(F.col("node").alias("comp"), "component")
-            comps = stored(_joined(comps, joined, "comp", "left").select("unit", F.coalesce("component", "comp").alias("comp")))
+        if links.isEmpty():
+            return False
+        joined = components(links).select(F.col("node").alias("comp"), "component")
+        comps = stored(_joined(comps, joined, "comp", "left").select("unit", F.coalesce("component", "comp").alias("comp")))
+        return True
 
     several = owner.groupBy("gid").count().filter("count > 1").select("gid")
     alone = _joined(_joined(owner, several, "gid"), sets, "unit").groupBy("gid").agg(F.collect_list(F.struct(F.col("unit").alias("comp"), "sizes", "tokens")).alias("members"))
     merge(alone.withColumn("others", F.expr(f"cast(array() as {_MEMBERS})")))
-    own = stored(_joined(matrix, owner, "unit"))
+    for turn in range(TURNS):
+        if not merge(_stars(matrix, comps, units, turn)):
+            break
+    large = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    placed = _joined(_joined(owner, comps, "unit"), large, "comp")
+    column = F.when(F.col("size") > 1, F.xxhash64(F.lit("component"), "comp")).otherwise(F.col("gid"))
+    own = stored(_joined(matrix, placed.withColumn("gid", column).drop("size"), "unit"))
     union = own.select("token", F.col("gid").alias("to")).distinct()
     union = stored(_joined(union, union.groupBy("token").count().filter("count > 1").select("token"), "token"))
     least = own.groupBy("gid").agg(F.min("need").alias("need"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -289,16 +322,19 @@ def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("gid_a", "gid_b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
     pairs = stored(pairs.filter("shared >= need").select("gid_a", "gid_b"))
     either = pairs.select(F.col("gid_a").alias("gid"), "gid_b").union(pairs.select("gid_b", "gid_a"))
-    targets = _joined(side("b").select("token", "gid_b", "low_b", "high_b"), either, "gid_b")  # each group's partners' unions
+    targets = _joined(side("b").select("token", "gid_b", "low_b", "high_b"), either, "gid_b")  # each column's partners' unions
     queries = own.withColumnsRenamed({"low": "low_a", "high": "high_a"})
-    bound = _joined(queries, targets, ["token", "gid"]).filter(alike).select("unit", "gid", F.col("gid_b").alias("to"), "need")
-    bound = bound.groupBy("unit", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
-    able = _joined(bound.filter("shared >= need"), comps, "unit")
+    bound = _joined(queries, targets, ["token", "gid"]).filter(alike).select("unit", "comp", "gid", F.col("gid_b").alias("to"), "need")
+    bound = bound.groupBy("unit", "comp", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+    able = bound.filter("shared >= need")
     able = stored(able.select("unit", "comp", F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"), (F.col("gid") < F.col("to")).alias("first")))
-    both = able.groupBy("a", "b").agg(F.min("first").alias("f"), F.max("first").alias("t"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    rows = _joined(_joined(able, both.filter("NOT f AND t AND low < high").select("a", "b"), ["a", "b"]), sets, "unit")
-    member = F.struct("comp", "sizes", "tokens")
-    merge(rows.groupBy("a", "b").agg(*[F.collect_list(F.when(F.col("first") == side, member)).alias(n) for side, n in ((True, "members"), (False, "others"))]))
+    both = able.groupBy("a", "b").agg(F.sum(F.col("first").cast("long")).alias("firsts"), F.count(F.lit(1)).alias("n")).filter("firsts > 0 AND firsts < n")
+    dealt = _joined(_joined(able, both, ["a", "b"]), sets, "unit")
+    parts = F.ceil(F.when(F.col("first"), F.col("firsts")).otherwise(F.col("n") - F.col("firsts")) / PART)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("unit"), parts)).groupBy("a", "b", "first", "part").agg(F.collect_list(F.struct("comp", "sizes", "tokens")).alias("held"))
+    dealt = stored(dealt)
+    rows = _joined(dealt.filter("first").select("a", "b", F.col("held").alias("members")), dealt.filter("NOT first").select("a", "b", F.col("held").alias("others")), ["a", "b"])
+    merge(rows)
     return comps
 
 
