@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import SPACE, SPACE_CHARS, stored, table
+from cellweave.llm.common import stored, table
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -98,25 +98,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself, with docs' columns: each document as often as it is taken, a last partial copy cut after its words.
+    """The mix itself, with docs' columns: each document as often as it is taken, always whole.
 
-    Documents are matched to their share by id and source; rows equal in both share alike.
+    Where a source's last pass ends within a document, that document is taken if half of its words or more are. Documents
+    without words come as often as their source is passed through whole. Documents are matched to their share by id and
+    source; rows equal in both share alike.
     """
-    shares = mix(docs).filter("taken > 0").groupBy("doc_id", "source")
-    shares = shares.agg(*[F.max(c).alias(c) for c in ("repeats", "partial", "size")])
-    shares = shares.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "repeats", "partial", "size")])
-    columns = docs.columns
+    shares = mix(docs).groupBy("doc_id", "source").agg(*[F.max(c).alias(c) for c in ("repeats", "partial", "size")])
+    times = F.col("repeats") + ((F.col("size") > 0) & (2 * F.col("partial") >= F.col("size"))).cast("long")
+    shares = shares.select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), times.cast("int").alias("_times")).filter("_times > 0")
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    rows = docs.join(shares, own)
-    trimmed = F.ltrim(F.col("text"), F.lit(SPACE_CHARS))
-    rest = F.get(F.split(trimmed, f"[{SPACE}]+", F.col("_partial").cast("int") + 1), F.col("_partial").cast("int"))
-    cut = F.substring(trimmed, F.lit(1), F.length(trimmed) - F.coalesce(F.length(rest), F.lit(0)))
-    times = F.array_repeat(F.lit(True), F.col("_repeats").cast("int") + (F.col("_partial") == F.col("_size")).cast("int"))
-    part = F.when((F.col("_partial") > 0) & (F.col("_partial") < F.col("_size")), F.array(F.lit(False))).otherwise(F.expr("cast(array() as array<boolean>)"))
-    rows = rows.withColumn("_whole", F.explode(F.concat(times, part)))
-    text = F.when(F.col("_whole"), F.col("text")).otherwise(cut)
-    made = {"text": text} | ({"n_chars": F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
-    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
+    rows = docs.join(shares, own).withColumn("_times", F.explode(F.array_repeat("_times", F.col("_times"))))
+    return rows.select(*docs.columns)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

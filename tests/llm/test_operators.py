@@ -337,14 +337,20 @@ def test_mix_meets_targets(docs):
     assert mixture.mix(docs.limit(0)).count() == 0
 
 
-def test_mixed_documents_hold_the_words_taken(docs):
+def test_mixed_documents_are_whole(docs):
     one = docs.dropDuplicates(["doc_id"])
     out = mixture.mixed(one)
-    want = {r.doc_id: r.taken for r in mixture.mix(one).collect() if r.taken}
+    want = {}
+    for r in mixture.mix(one).collect():
+        times = r.repeats + int(r.size > 0 and 2 * r.partial >= r.size)
+        if times:
+            want[r.doc_id] = times
+    texts = dict(collected(one))
     got = collections.Counter()
     for i, t in collected(out):
-        got[i] += len(words_of(t))
-    assert out.columns == docs.columns and dict(got) == want
+        assert t == texts[i]
+        got[i] += 1
+    assert out.columns == docs.columns and dict(got) == want and mixture.mixed(docs.limit(0)).count() == 0
 
 
 # language model

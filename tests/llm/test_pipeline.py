@@ -41,7 +41,7 @@ def test_stages_take_effect(spark, sf_dir):
     assert set(ids[1]) - set(ids[2]) == ({1, 200, 201, 202} - {202}) | {302}
     assert set(ids[2]) - set(ids[3]) == {300}
     words = lambda d: d.agg(F.sum(F.size(F.filter(F.split("text", r"[ \t\n]+"), lambda w: w != "")))).first()[0]
-    assert abs(words(seen[4]) - words(seen[3])) <= 8
+    assert abs(words(seen[4]) - words(seen[3])) <= 4 * 80  # a document of each source at most
 
 
 def test_run_encodes_what_is_left(spark, sf_dir):
@@ -52,4 +52,4 @@ def test_run_encodes_what_is_left(spark, sf_dir):
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
     for r in rows:
         decoded = b"".join(pieces[i] for i in r.ids).decode()
-        assert texts[r.doc_id].strip().startswith(decoded.strip())
+        assert texts[r.doc_id] == decoded
