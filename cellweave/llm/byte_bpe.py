@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import table
 from cellweave.llm.quality import let
 
-BLOCK = 12 << 20  # characters of text
+BLOCK = 8 << 20  # characters of text
 BUCKETS = 256  # rows in which a block sends its words
 SPAN = 64  # tasks whose blocks share a dictionary
 LONG = 512  # bytes of a word that the fold takes at most

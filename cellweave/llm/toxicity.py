@@ -39,7 +39,7 @@ SMOOTHING = 0.2  # similarity with which the overall share of label 1 votes
 CUTOFF = 0.7
 BLOCK = 64  # examples in a block
 SLICE = 256  # examples that are scored at once to calibrate
-FORGET = 1 << 19  # words that a task remembers at once
+FORGET = 1 << 16  # words that a task remembers at once
 
 _CHARS = bytes(x if 48 <= x < 58 or 97 <= x < 123 or x > 127 else x + 32 if 65 <= x < 91 else 32 for x in range(256))
 
