@@ -63,14 +63,16 @@ class Weights:
     rare: float = math.log(RARE) + 1  # the weight of all other words
 
     def vectors(self) -> Callable[[list[bytes]], np.ndarray]:
-        """A function from texts to the rows of their weights of shared terms; words met before are looked up once."""
+        """A function from texts to the rows of their weights of shared terms; words that begin like none of these are not looked into."""
+        heads = {t[:4] for t in self.vocabulary}
+        squares, rare = {w: x**2 for w, x in self.words.items()}, self.rare**2
         known: dict[bytes, tuple[tuple[int, ...], float]] = {}
 
         def look_up(word: bytes) -> tuple[tuple[int, ...], float]:
             if len(known) >= FORGET:
                 known.clear()
             ids = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-            known[word] = found = ids, 0.0 if word in self.vocabulary else self.words.get(word, self.rare) ** 2
+            known[word] = found = ids, 0.0 if word in self.vocabulary else squares.get(word, rare)
             return found
 
         def rows(texts: list[bytes]) -> np.ndarray:
@@ -78,10 +80,13 @@ class Weights:
             for row, text in zip(out, texts):
                 rest, counts = 0.0, {}
                 for word, n in Counter(words(text)).items():
-                    ids, square = known.get(word) or look_up(word)
+                    if word[:4] in heads:
+                        ids, square = known.get(word) or look_up(word)
+                        for t in ids:
+                            counts[t] = counts.get(t, 0) + n
+                    else:
+                        square = squares.get(word, rare)
                     rest += square if n == 1 else square * (1 + math.log(n)) ** 2
-                    for t in ids:
-                        counts[t] = counts.get(t, 0) + n
                 if counts:
                     ts = np.fromiter(counts, np.int64, len(counts))
                     ws = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[ts]
@@ -241,21 +246,17 @@ def _vocabulary(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
 def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
     """How many documents of the whole table hold each term, and how many there are; a task sends one row for each term."""
     place = {t: i for i, t in enumerate(terms)}
+    heads = {t[:4] for t in terms if t.endswith(b"-")}  # of pieces; words have no hyphen
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, known = np.zeros(len(terms), np.int64), 0, {}
+        held, n = np.zeros(len(terms), np.int64), 0
         for _, texts in text_batches(batches):
             for text in texts:
-                own: set[int] = set()
-                for word in set(words(text)):
-                    ids = known.get(word)
-                    if ids is None:
-                        if len(known) >= FORGET:
-                            known.clear()
-                        ids = known[word] = tuple(place[t] for t in terms_of(word) if t in place)
-                    own.update(ids)
-                if own:
-                    held[list(own)] += 1
+                own = set(words(text))
+                ids = {place[w] for w in own & place.keys()}
+                ids.update(place[t] for w in own if w[:4] in heads for t in terms_of(w)[1:] if t in place)
+                if ids:
+                    held[list(ids)] += 1
                 n += 1
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, len(terms))), pa.array(np.append(held[at], n))], names=["term", "n"])
