@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import table
 from cellweave.llm.quality import let
 
-BLOCK = 8 << 20  # characters of text
+BLOCK = 4 << 20  # characters of text
 BUCKETS = 256  # rows in which a block sends its words
 SPAN = 64  # tasks whose blocks share a dictionary
 LONG = 512  # bytes of a word that the fold takes at most
@@ -227,6 +227,7 @@ def _blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                 held += len(text or "")
                 if held >= BLOCK:
                     yield block()
+                    pa.default_memory_pool().release_unused()
                     ids, sizes, places, known, held, made = [], [], [], {}, 0, made + 1
         if ids:
             yield block()
