@@ -318,11 +318,11 @@ def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
     each = _joined(union.withColumnRenamed("to", "gid"), least, "gid")
     side = lambda x: each.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "need", "low", "high")])
     alike = F.expr(f"100 * high_a >= {SIMILARITY} * low_b AND 100 * high_b >= {SIMILARITY} * low_a")  # the sets' sizes
-    pairs = _joined(side("a"), side("b"), "token").filter(F.expr("gid_a < gid_b") & alike)
-    pairs = pairs.groupBy("gid_a", "gid_b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
-    pairs = stored(pairs.filter("shared >= need").select("gid_a", "gid_b"))
-    either = pairs.select(F.col("gid_a").alias("gid"), "gid_b").union(pairs.select("gid_b", "gid_a"))
-    targets = _joined(side("b").select("token", "gid_b", "low_b", "high_b"), either, "gid_b")  # each column's partners' unions
+    common = stored(_joined(side("a"), side("b"), "token").filter(F.expr("gid_a < gid_b") & alike).select("token", "gid_a", "gid_b", F.greatest("need_a", "need_b").alias("need"), "low_a", "high_a", "low_b", "high_b"))
+    pairs = common.groupBy("gid_a", "gid_b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("least"))
+    common = stored(_joined(common, pairs.filter("shared >= least").select("gid_a", "gid_b"), ["gid_a", "gid_b"]))
+    turned = common.select("token", F.col("gid_b").alias("gid"), F.col("gid_a").alias("gid_b"), F.col("low_a").alias("low_b"), F.col("high_a").alias("high_b"))
+    targets = common.select("token", F.col("gid_a").alias("gid"), "gid_b", "low_b", "high_b").union(turned)  # what each column shares with its partners
     queries = own.withColumnsRenamed({"low": "low_a", "high": "high_a"})
     bound = _joined(queries, targets, ["token", "gid"]).filter(alike).select("unit", "comp", "gid", F.col("gid_b").alias("to"), "need")
     bound = bound.groupBy("unit", "comp", "gid", "to").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
