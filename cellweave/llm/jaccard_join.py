@@ -35,7 +35,7 @@ FREQUENT = 1 << 17  # tokens whose frequency the order knows; any order gives th
 LOCAL = 4  # a token is reported by a task that has met it in so many documents
 CHUNK = 1 << 20  # tokens that a task counts at once
 SALTS = 16  # parts into which the rows of a frequent token are dealt
-TURNS = 4  # turns in which units are held against the units that their tokens name, at most
+TURNS = 2  # turns in which units are held against the units that their tokens name, at most
 PART = 16  # units of one side that are opened at once
 OPENED = 2  # groups, or pairs of groups, that a task holds at once
 
