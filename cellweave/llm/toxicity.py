@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,6 @@ SMOOTHING = 0.2  # similarity with which the overall share of label 1 votes
 CUTOFF = 0.7
 BLOCK = 64  # examples in a block
 SLICE = 256  # examples that are scored at once to calibrate
-FORGET = 1 << 16  # words that a task remembers at once
 
 _CHARS = bytes(x if 48 <= x < 58 or 97 <= x < 123 or x > 127 else x + 32 if 65 <= x < 91 else 32 for x in range(256))
 
@@ -63,34 +63,30 @@ class Weights:
     rare: float = math.log(RARE) + 1  # the weight of all other words
 
     def vectors(self) -> Callable[[list[bytes]], np.ndarray]:
-        """A function from texts to the rows of their weights of shared terms; words that begin like none of these are not looked into."""
-        heads = {t[:4] for t in self.vocabulary}
-        squares, rare = {w: x**2 for w, x in self.words.items()}, self.rare**2
-        known: dict[bytes, tuple[tuple[int, ...], float]] = {}
-
-        def look_up(word: bytes) -> tuple[tuple[int, ...], float]:
-            if len(known) >= FORGET:
-                known.clear()
-            ids = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-            known[word] = found = ids, 0.0 if word in self.vocabulary else squares.get(word, rare)
-            return found
+        """A function from texts to the rows of their weights of shared terms; words that begin like no shared piece are not looked into."""
+        whole = {t for t in self.vocabulary if not t.endswith(b"-")}  # words have no hyphen
+        pieces: dict[bytes, list[tuple[bytes, int]]] = {}
+        for t, i in self.vocabulary.items():
+            if t not in whole:
+                pieces.setdefault(t[: PIECES[0]], []).append((t[:-1], i))
+        squares = {w: x**2 for w, x in self.words.items()} | dict.fromkeys(whole, 0.0)
+        rare = self.rare**2
 
         def rows(texts: list[bytes]) -> np.ndarray:
             out = np.zeros((len(texts), len(self.idf)))
             for row, text in zip(out, texts):
-                rest, counts = 0.0, {}
-                for word, n in Counter(words(text)).items():
-                    if word[:4] in heads:
-                        ids, square = known.get(word) or look_up(word)
-                        for t in ids:
-                            counts[t] = counts.get(t, 0) + n
-                    else:
-                        square = squares.get(word, rare)
-                    rest += square if n == 1 else square * (1 + math.log(n)) ** 2
-                if counts:
-                    ts = np.fromiter(counts, np.int64, len(counts))
-                    ws = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[ts]
-                    row[ts] = ws / math.sqrt(float(ws @ ws) + rest)
+                held = Counter(words(text))
+                counts = {self.vocabulary[w]: held[w] for w in held.keys() & whole}
+                for word, alike in [(w, x) for w in held if (x := pieces.get(w[: PIECES[0]]))]:
+                    for piece, t in alike:
+                        if len(word) > len(piece) and word.startswith(piece):
+                            counts[t] = counts.get(t, 0) + held[word]
+                if counts:  # else the row stays empty, whatever the text's length
+                    ts = np.array(sorted(counts))
+                    ws = (1 + np.log(np.fromiter(map(counts.get, ts.tolist()), np.float64, len(ts)))) * self.idf[ts]
+                    each = np.fromiter(map(squares.get, held, repeat(rare)), np.float64, len(held))
+                    rest = each @ (1 + np.log(np.fromiter(held.values(), np.float64, len(held)))) ** 2
+                    row[ts] = ws / math.sqrt(float(ws @ ws + rest))
             return out
 
         return rows
