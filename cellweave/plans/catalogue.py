@@ -305,10 +305,10 @@ def pose_score(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.pose_score(source, p, ["scan_id"], SIZE).select("scan_id", r6("score"))
 
 
-@query(f"""WITH {b.SP}, {lookup_sql('lt', 0.5)}, th AS (SELECT -1.6 + i * 0.2 AS theta FROM range(0, 16) t(i)), sh AS (SELECT -4.0 + i * 0.5 AS m, (i - 8)::BIGINT AS cells FROM range(0, 16) t(i)),
-r AS (SELECT scan_id, theta::DOUBLE AS theta, floor((cos(theta) * x - sin(theta) * y - minx + 0.25) / 0.5)::BIGINT AS ix, floor((maxy - (sin(theta) * x + cos(theta) * y) + 0.25) / 0.5)::BIGINT AS iy FROM sp JOIN lt_f USING (scan_id), th),
+@query(f"""WITH {b.SP}, {lookup_sql('lt', 0.5)}, th AS (SELECT -1.6 + i * 0.2 AS theta FROM range(0, 16) t(i)),
+r AS (SELECT scan_id, theta::DOUBLE AS theta, floor((cos(theta) * x - sin(theta) * y - minx + 0.25) / 0.5)::BIGINT AS ix, floor((maxy - (sin(theta) * x + cos(theta) * y) + 0.25) / 0.5)::BIGINT AS iy FROM sp JOIN lt_f USING (scan_id) CROSS JOIN th),
 h AS (SELECT scan_id, theta, ix, iy, count(*) AS points FROM r GROUP BY ALL),
-c AS (SELECT h.scan_id, h.theta, a.m::DOUBLE AS dx, d.m::DOUBLE AS dy, sum(points * score) AS total FROM h, sh a, sh d JOIN lt ON lt.scan_id = h.scan_id AND lt.ix = h.ix + a.cells AND lt.iy = h.iy - d.cells GROUP BY ALL),
+c AS (SELECT h.scan_id, theta, (lt.ix - h.ix) * 0.5::DOUBLE AS dx, (h.iy - lt.iy) * 0.5::DOUBLE AS dy, sum(points * score) AS total FROM h JOIN lt ON lt.scan_id = h.scan_id WHERE lt.ix - h.ix BETWEEN -8 AND 7 AND h.iy - lt.iy BETWEEN -8 AND 7 GROUP BY ALL),
 q AS (SELECT scan_id, theta, dx, dy, total / (100 * n_target) AS score FROM c JOIN lt_f USING (scan_id) QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY total DESC, theta, dx, dy) = 1)
 SELECT scan_id, round(theta, 6) + 0.0 AS theta, dx, dy, round(score, 6) AS score FROM q""")
 def correlative_search(spark: SparkSession, sf: str) -> DataFrame:

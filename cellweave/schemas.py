@@ -22,7 +22,10 @@ MIN_POINTS_GAUSSIAN = 6
 
 @dataclass(frozen=True)
 class Config:
-    """Options of the live engine; the defaults are those of its node."""
+    """Options of the live engine; the defaults are those of its node.
+
+    Nothing reads the subscribe mode, the frame ids, the merge and ray modes and the least scan points yet.
+    """
 
     window_radius: float = 40.0
     node_generation_distance: float = 2.0
@@ -35,7 +38,7 @@ class Config:
     search_depth: int = 50
     min_scan_points: int = 400
     subscribe_mode: str = "NON"
-    odom_frame_id: str = "odom_farme"
+    odom_frame_id: str = "odom"
     map_frame_id: str = "map"
     merge_mode: str = "overwrite"
     ray_mode: str = "bounded"

@@ -50,12 +50,12 @@ def pose_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graph_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of a graph file (VERTEX_SE2 and EDGE_SE2 lines, and their switchable and mixture kin)."""
+    """Vertices and edges of a graph file: VERTEX_SE2, EDGE_SE2 and EDGE_SE2_SWITCHABLE lines. Lines of other tags, mixtures too, are left out."""
     f = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).withColumn("f", f).withColumn("tag", F.get("f", 0))
     num = lambda i: F.get("f", i).cast("double")
     nodes = lines.filter(F.col("tag") == "VERTEX_SE2").select(F.get("f", 1).cast("long").alias("id"), num(2).alias("x"), num(3).alias("y"), num(4).alias("theta"))
-    edges = lines.filter(F.col("tag").startswith("EDGE_SE2")).withColumn("o", F.when(F.col("tag") == "EDGE_SE2_SWITCHABLE", 1).otherwise(0))
+    edges = lines.filter(F.col("tag").isin("EDGE_SE2", "EDGE_SE2_SWITCHABLE")).withColumn("o", F.when(F.col("tag") == "EDGE_SE2_SWITCHABLE", 1).otherwise(0))
     num = lambda i: F.get("f", F.col("o") + i).cast("double")
     info = F.array(*[num(i) for i in (6, 7, 8, 7, 9, 10, 8, 10, 11)])
     switch = F.when(F.col("o") == 1, F.get("f", 3).cast("long"))
