@@ -322,6 +322,14 @@ def test_graph_text_round_trip(spark, tmp_path):
     assert {r.line for r in graph.dot_lines(edges, nodes).collect()} >= {"p0->p1", 'p0[ pose="0.0,0.0!"]'}
 
 
+def test_graph_text_reads_known_tags_only(spark, tmp_path):
+    tail = "1.0 2.0 0.5 9.0 0.0 0.0 9.0 0.0 9.0"
+    (tmp_path / "g").write_text(f"VERTEX_SE2 0 0 0 0\nEDGE_SE2 0 1 {tail}\nEDGE_SE2_SWITCHABLE 1 2 7 {tail}\nEDGE_SE2_MIXTURE 2 EDGE_SE2 0.9 2 3 {tail}\n\nFIX 0\n")
+    n, e = readers.graph_text(spark, str(tmp_path / "g"))
+    assert [r.id for r in n.collect()] == [0]
+    assert {(r.src, r.dst, r.switch, r.dx, r.dy, r.dtheta) for r in e.collect()} == {(0, 1, None, 1.0, 2.0, 0.5), (1, 2, 7, 1.0, 2.0, 0.5)}
+
+
 # sources, configuration, streaming
 
 
