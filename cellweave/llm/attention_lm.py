@@ -3,6 +3,8 @@
 One attention layer reads a window of ids and predicts the class of the next id; within its class an id has its share of
 the training documents' counts. Windows overlap: each begins CONTEXT ids before the ids that it scores, so every id is
 scored once, with CONTEXT to WINDOW - 1 ids before it in view.
+
+Weights of shards of a corpus, each trained from the same start, go through `packed` and `mean` into those of their union.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ SCORED = WINDOW - CONTEXT
 CLASSES = 48
 STEPS, BATCH, RATE, SEED = 250, 192, 0.01, 7
 NEVER = np.float32(-1e9)
+SAFE = 60.0  # exponents of at most this size need no shift
+UNIT = 1 << 16  # packed weights are whole numbers of 1 / UNIT, so that their sums don't depend on the order
 
 
 def id_classes(counts: np.ndarray, groups: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
@@ -35,10 +39,17 @@ def id_classes(counts: np.ndarray, groups: np.ndarray, classes: int = CLASSES) -
     return of, np.log(smooth / np.bincount(of, smooth, base)[of])
 
 
-def _bias(relative: np.ndarray) -> np.ndarray:
-    """What each query (a scored place) adds for each key: a value by distance, and never for later places."""
+def _bias(relative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each query (a scored place) adds for each key: never for later places, and a value by distance."""
     far = (np.arange(SCORED)[:, None] + CONTEXT) - np.arange(WINDOW)[None, :]
-    return np.where(far >= 0, relative[np.maximum(far, 0)], NEVER).astype(np.float32)
+    return np.where(far >= 0, np.float32(0), NEVER), relative[np.maximum(far, 0)].astype(np.float32)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x, with the largest of each row taken off if its exponentials could overflow or all vanish."""
+    if x.size and max(x.max(), -x.min()) > SAFE:
+        x -= x.max(axis=-1, keepdims=True)
+    return x
 
 
 def windows(docs: list[np.ndarray], start: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,76 +91,145 @@ class AttentionModel:
         total = np.empty(len(ids))
         for lo in range(0, len(ids), chunk):
             x, y = ids[lo : lo + chunk], targets[lo : lo + chunk]
-            a = np.matmul(self.query[x[:, CONTEXT:]], self.key[x].transpose(0, 2, 1))
-            a += bias
-            a += shut[x][:, None, :]
+            a = _shifted(np.matmul(self.query.take(x[:, CONTEXT:], axis=0), self.key.take(x, axis=0).transpose(0, 2, 1)) + bias[1])
+            a += bias[0]
+            a += shut.take(x)[:, None, :]
             np.exp(a, out=a)
-            h = np.matmul(a, self.value[x])
+            h = np.matmul(a, self.value.take(x, axis=0))
             h /= a.sum(axis=2, keepdims=True) + np.float32(1e-20)
-            h += self.skip[x[:, CONTEXT:]]
+            h += self.skip.take(x[:, CONTEXT:], axis=0)
             z = h.reshape(-1, WIDTH) @ self.out
             z += self.out_bias
+            _shifted(z)
             real = (y != pad).ravel()
             t = np.where(real, y.ravel(), 0)
-            picked = z[np.arange(len(z)), self.of_class[t]]
+            picked = z[np.arange(len(z)), self.of_class.take(t)]
             np.exp(z, out=z)
-            lp = picked.astype(np.float64) - np.log(z.sum(axis=1)) + self.in_class[t]
+            lp = picked.astype(np.float64) - np.log(z.sum(axis=1)) + self.in_class.take(t)
             total[lo : lo + chunk] = np.where(real, lp, 0.0).reshape(-1, SCORED).sum(axis=1)
         ends = np.cumsum(each)
         sums = np.concatenate(([0.0], np.cumsum(total)))
         return (sums[ends] - sums[ends - each]) / np.log(10)
 
 
-def trained(docs: list[np.ndarray], counts: np.ndarray, groups: np.ndarray, start: int, steps: int = STEPS) -> AttentionModel:
-    """Adam on the cross-entropy of classes over random windows of docs; the same input gives the same model."""
+Weights = dict[str, np.ndarray]  # e: ids; w: query, key, value and skip side by side; r: distances; u, b: classes
+
+
+def initial(counts: np.ndarray, of: np.ndarray) -> Weights:
+    """Small random weights; the classes' biases are the logs of their shares."""
     rng = np.random.default_rng(SEED)
-    n, d = len(counts) + 1, WIDTH
-    of, inside = id_classes(counts, groups)
-    k = int(of.max()) + 1
+    n, d, k = len(counts) + 1, WIDTH, int(of.max()) + 1
     p = {"e": rng.normal(0, 0.1, (n, d)), "r": np.zeros(WINDOW), "u": rng.normal(0, 0.1, (d, k)), "b": np.log(np.bincount(of, counts + 1.0, k) / (counts + 1.0).sum())}
-    p |= {w: rng.normal(0, d**-0.5, (d, d)) for w in ("q", "k", "v", "s")}
-    p = {name: x.astype(np.float32) for name, x in p.items()}
+    p["w"] = rng.normal(0, d**-0.5, (d, 4 * d))
+    return {name: x.astype(np.float32) for name, x in p.items()}
+
+
+def train(p: Weights, of: np.ndarray, xs: np.ndarray, ys: np.ndarray, picks: list[np.ndarray]) -> None:
+    """Adam on the cross-entropy of classes, in place: a step for each batch of windows, at a rate that falls to a tenth."""
+    d, pad, root = WIDTH, len(p["e"]) - 1, np.float32(WIDTH**-0.5)
     m, v2 = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
-    if docs:
-        xs, ys, _ = windows(docs, start, n - 1)
-    root = np.float32(d**-0.5)
     far = np.maximum((np.arange(SCORED)[:, None] + CONTEXT) - np.arange(WINDOW)[None, :], 0)
-    for step in range(1, steps + 1 if docs else 1):
-        pick = rng.integers(0, len(xs), BATCH)
-        x, y = xs[pick], ys[pick]
-        e = p["e"][x]
-        eq = e[:, CONTEXT:]
-        q, key, val = eq @ p["q"] * root, e @ p["k"], e @ p["v"]
-        a = np.matmul(q, key.transpose(0, 2, 1)) + _bias(p["r"]) + np.where(x == n - 1, NEVER, 0)[:, None, :].astype(np.float32)
-        a = np.exp(a - a.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        h = np.matmul(a, val) + eq @ p["s"]
-        z = h @ p["u"] + p["b"]
-        z = np.exp(z - z.max(axis=2, keepdims=True))
-        z /= z.sum(axis=2, keepdims=True)
-        real = y != n - 1
-        t = of[np.where(real, y, 0)]
-        dz = z
-        dz[np.arange(BATCH)[:, None], np.arange(SCORED)[None, :], t] -= 1
-        dz *= real[:, :, None] / np.float32(max(1, real.sum()))
-        dh = dz @ p["u"].T
-        da = np.matmul(dh, val.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dh)
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-        dq, dk = np.matmul(ds, key) * root, np.matmul(ds.transpose(0, 2, 1), q)
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, CONTEXT:] += dq @ p["q"].T + dh @ p["s"].T
-        g = {"u": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0), "q": flat(eq).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "s": flat(eq).T @ flat(dh)}
+    for step, pick in enumerate(picks, 1):
+        x, y = xs.take(pick, axis=0), ys.take(pick, axis=0).ravel()
+        n, flat = len(x), x.ravel()
+        order = np.argsort(flat, kind="stable")
+        ids = flat.take(order)
+        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        rows, back = ids[edge], np.empty(len(ids), np.int64)
+        back[order] = np.repeat(np.arange(len(rows)), np.diff(np.append(edge, len(ids))))
+        e = p["e"].take(rows, axis=0)
+        all_four = e @ p["w"]
+        all_four[:, :d] *= root
+        at = all_four.take(back, axis=0).reshape(n, WINDOW, 4 * d)
+        q, key, val = at[:, CONTEXT:, :d], at[:, :, d : 2 * d], at[:, :, 2 * d : 3 * d]
+        bias = _bias(p["r"])
+        a = _shifted(np.matmul(q, key.transpose(0, 2, 1)) + bias[1])
+        a += bias[0]
+        if rows[-1] == pad:
+            a += np.where(x == pad, NEVER, np.float32(0))[:, None, :]
+        np.exp(a, out=a)
+        a /= a.sum(axis=2, keepdims=True) + np.float32(1e-20)
+        h = np.matmul(a, val)
+        h += at[:, CONTEXT:, 3 * d :]
+        flat_h = h.reshape(-1, d)
+        dz = _shifted(flat_h @ p["u"] + p["b"])
+        np.exp(dz, out=dz)
+        real = y != pad
+        weight = real / np.float32(max(1, real.sum()))
+        dz *= (weight / dz.sum(axis=1))[:, None]
+        dz[np.arange(len(dz)), of.take(np.where(real, y, 0))] -= weight
+        dh = (dz @ p["u"].T).reshape(n, SCORED, d)
+        ds = np.matmul(dh, val.transpose(0, 2, 1))
+        ds *= a
+        ds -= a * ds.sum(axis=2, keepdims=True)
+        back4 = np.zeros((n, WINDOW, 4 * d), np.float32)
+        back4[:, CONTEXT:, :d] = np.matmul(ds, key) * root
+        back4[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
+        back4[:, :, 2 * d : 3 * d] = np.matmul(a.transpose(0, 2, 1), dh)
+        back4[:, CONTEXT:, 3 * d :] = dh
+        back4 = back4.reshape(-1, 4 * d)
+        g = {"w": (back4.T @ e.take(back, axis=0)).T, "u": flat_h.T @ dz, "b": dz.sum(axis=0)}
+        g["e"] = np.add.reduceat((back4 @ p["w"].T).take(order, axis=0), edge, axis=0)
         g["r"] = np.bincount(far.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(np.float32)
-        rows, back = np.unique(x, return_inverse=True)
-        order = np.argsort(back.ravel(), kind="stable")
-        g["e"] = np.add.reduceat(flat(de)[order], np.searchsorted(back.ravel()[order], np.arange(len(rows))), axis=0)
+        rate = RATE * (1 - 0.9 * (step - 1) / len(picks))
+        scale = np.float32(rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step))
         for name, grad in g.items():
-            at = rows if name == "e" else slice(None)
-            m[name][at] = 0.9 * m[name][at] + 0.1 * grad
-            v2[name][at] = 0.99 * v2[name][at] + 0.01 * grad * grad
-            scale = np.float32(RATE * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step))
-            p[name][at] -= scale * m[name][at] / (np.sqrt(v2[name][at]) + np.float32(1e-8))
-    e = p["e"]
-    return AttentionModel(e @ p["q"] * root, e @ p["k"], e @ p["v"], e @ p["s"], p["r"], p["u"], p["b"], of, inside, start)
+            to = rows if name == "e" else slice(None)
+            m1 = m[name][to] * np.float32(0.9) + np.float32(0.1) * grad
+            m2 = v2[name][to] * np.float32(0.99) + np.float32(0.01) * grad * grad
+            m[name][to], v2[name][to] = m1, m2
+            p[name][to] -= scale * m1 / (np.sqrt(m2) + np.float32(1e-8))
+
+
+def train_shard(p: Weights, of: np.ndarray, docs: list[np.ndarray], start: int, passes: int, seed: int) -> np.ndarray:
+    """Train p in place on every window of docs, passes times each, in random order; how often each id was an input."""
+    xs, ys, _ = windows(docs, start, len(p["e"]) - 1)
+    xs = xs.astype(np.uint16) if len(p["e"]) <= 1 << 16 else xs  # sorted faster
+    rng = np.random.default_rng((SEED, seed))
+    turns = np.concatenate([rng.permutation(len(xs)) for _ in range(passes)])
+    train(p, of, xs, ys, np.array_split(turns, max(1, len(turns) // BATCH)))
+    return np.bincount(xs.ravel(), minlength=len(p["e"]))
+
+
+def _rest(p: Weights) -> list[str]:
+    return [name for name in sorted(p) if name != "e"]
+
+
+def packed(p: Weights, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of WIDTH weights: their places, what each counts for in a mean, and their whole numbers times that.
+
+    The row of an id counts as often as the id was seen; the other weights, after all ids, as the places seen.
+    """
+    rest = np.concatenate([p[name].ravel() for name in _rest(p)])
+    rest = np.append(rest, np.zeros(-len(rest) % WIDTH, np.float32)).reshape(-1, WIDTH)
+    rows = np.flatnonzero(seen)
+    n = np.append(seen[rows], np.full(len(rest), seen.sum()))
+    values = np.rint(np.concatenate((p["e"][rows], rest)).astype(np.float64) * UNIT).astype(np.int64)
+    return np.append(rows, len(p["e"]) + np.arange(len(rest))), n, values * n[:, None]
+
+
+def mean(p: Weights, place: np.ndarray, n: np.ndarray, values: np.ndarray) -> Weights:
+    """p with the means of packed rows, summed by place, in their places."""
+    rest = np.concatenate([p[name].ravel() for name in _rest(p)])
+    every = np.append(np.append(p["e"].ravel(), rest), np.zeros(-len(rest) % WIDTH, np.float32)).reshape(-1, WIDTH)
+    every[place] = values / (n[:, None] * float(UNIT))
+    out, flat, at = {"e": every[: len(p["e"])]}, every.ravel(), p["e"].size
+    for name in _rest(p):
+        out[name] = flat[at : at + p[name].size].reshape(p[name].shape)
+        at += p[name].size
+    return out
+
+
+def model(p: Weights, of: np.ndarray, inside: np.ndarray, start: int) -> AttentionModel:
+    q, k, v, s = (p["e"] @ w for w in np.split(p["w"], 4, axis=1))
+    return AttentionModel(q * np.float32(WIDTH**-0.5), k, v, s, p["r"], p["u"], p["b"], of, inside, start)
+
+
+def trained(docs: list[np.ndarray], counts: np.ndarray, groups: np.ndarray, start: int, steps: int = STEPS) -> AttentionModel:
+    """A model of docs after steps of BATCH random windows; the same input gives the same model."""
+    of, inside = id_classes(counts, groups)
+    p = initial(counts, of)
+    if docs:
+        xs, ys, _ = windows(docs, start, len(counts))
+        train(p, of, xs, ys, list(np.random.default_rng(SEED).integers(0, len(xs), (steps, BATCH))))
+    return model(p, of, inside, start)

@@ -1,7 +1,10 @@
 """LM scoring: unigram counts of the whole training part, and a causal self-attention model over subword ids.
 
-Counts of words and of subword ids come from every training document (those not held out). The attention weights are
-trained on EXAMPLES training documents, those of least hash; that bound is a parameter. Frequent words are looked up in a
+Counts of words and of subword ids come from every training document (those not held out). So do the attention weights:
+documents are dealt into shards of about SHARD ids by hash, every window of every shard trains, and the weights of a round's
+shards, all trained from the mean of the round before, are averaged (an id's own by how often a shard saw it). The first
+round is one shard; GROWTH tells how fast rounds grow. Tables of less than STEPS batches pass more than once. Scores don't
+depend on how rows are dealt to tasks. Frequent words are looked up in a
 bounded table that every task has; the rest meet their counts in a shuffle. Words stand as 64-bit hashes (two words of n
 would be taken for one with a chance of n^2 / 2^65).
 
@@ -12,18 +15,19 @@ untrained.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.attention_lm import AttentionModel, trained
+from cellweave.llm.attention_lm import BATCH, SCORED, STEPS, WIDTH, AttentionModel, Weights, id_classes, initial, mean, model, packed, train_shard
 from cellweave.llm.byte_bpe import GPT2_LIKE, default_ranks
 from cellweave.llm.common import held_out, signed, stored, table, text_batches, word_hashes
 
-EXAMPLES = 512  # documents that the attention weights are trained on
+SHARD = 1 << 20  # ids of training documents that a task trains on, about
+GROWTH = 16  # times as many shards train in a round as in all rounds before it, about
 HEAD = 1 << 18  # words whose counts every task knows
 CHUNK = 1 << 22  # words that a task counts at once
 END = np.uint64(0)  # stands for the end among word hashes
@@ -90,11 +94,30 @@ def _model(first: DataFrame, ranks: dict[bytes, int]) -> AttentionModel:
     groups = np.ones(end + 1, np.int32)
     for piece, rank in ranks.items():
         groups[rank] = 0 if piece[:1] == b" " else 1
-    usable = first.filter("kind = 0 AND NOT held_out AND doc_id IS NOT NULL")
-    chosen = usable.select("doc_id", F.xxhash64("doc_id").alias("turn")).distinct().orderBy("turn", "doc_id").limit(EXAMPLES).select("doc_id")
-    sample = usable.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("ids").alias("ids")).orderBy("doc_id").collect()
-    kind = np.uint16 if end < 1 << 16 else np.uint32
-    return trained([np.frombuffer(r.ids, kind).astype(np.int32) for r in sample], counts, groups, end)
+    of, inside = id_classes(counts, groups)
+    p, kind = initial(counts, of), np.uint16 if end < 1 << 16 else np.uint32
+    shards = max(1, -(-int(counts.sum()) // SHARD))
+    passes = max(1, -(-STEPS * BATCH * SCORED // max(1, int(counts.sum()))))
+    dealt = first.filter("kind = 0 AND NOT held_out").select(F.expr(f"pmod(xxhash64(doc_id, ids), {shards}L)").alias("shard"), "doc_id", "ids")
+    values = [f"v{i}" for i in range(WIDTH)]
+
+    def trained(weights: Weights) -> Callable[[tuple, pa.Table], pa.Table]:
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            own = {name: x.copy() for name, x in weights.items()}
+            order = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            place, n, sums = packed(own, train_shard(own, of, [np.frombuffer(x, kind).astype(np.int32) for _, x in order], end, passes, key[0].as_py()))
+            return pa.table([pa.array(place.astype(np.int32)), pa.array(n), *[pa.array(sums[:, i]) for i in range(WIDTH)]], names=["place", "n", *values])
+
+        return run
+
+    low, high = 0, 1
+    while low < shards:
+        parts = dealt.filter((F.col("shard") >= low) & (F.col("shard") < high)).groupBy("shard")
+        sums = parts.applyInArrow(trained(p), ", ".join(f"{x} long" if x != "place" else "place int" for x in ("place", "n", *values))).groupBy("place")
+        got = sums.agg(*[F.sum(x).alias(x) for x in ("n", *values)]).toArrow()  # a row for each id, and few others
+        p = mean(p, got["place"].to_numpy(), got["n"].to_numpy(), np.stack([got[x].to_numpy() for x in values], axis=1))
+        low, high = high, high * GROWTH
+    return model(p, of, inside, end)
 
 
 def _scored(first: DataFrame, ranks: dict[bytes, int], model: AttentionModel, head: np.ndarray, log_head: np.ndarray, total: int, distinct: int) -> DataFrame:

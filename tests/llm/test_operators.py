@@ -370,6 +370,46 @@ def test_base_scores_equal_brute_force(docs, monkeypatch):
     assert all(r.score < 0 for r in out.collect()) and lm_score.scored(docs.limit(0), byte_bpe.default_ranks()).count() == 0
 
 
+def test_every_training_document_trains_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 1500)
+    monkeypatch.setattr(lm_score, "STEPS", 20)
+    rng = np.random.default_rng(5)
+    words = [" a", " of", " day", " sea", " stone", " river", " and"]
+    texts = [(None if i == 3 else i, "".join(rng.choice(words, 12)) + (" last" if i % 50 == 0 else "")) for i in range(800)]
+    turn = spark.createDataFrame([(i,) for i in range(800)], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS t").orderBy("t").collect()
+    training = [r.doc_id for r in turn if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 and r.doc_id != 3]
+    ranks = byte_bpe.default_ranks()
+
+    def weights(rows, parts=2):
+        m = lm_score._model(lm_score._first_pass(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), ranks, byte_bpe.GPT2_LIKE), ranks)
+        return np.concatenate((m.key.ravel(), m.out.ravel(), m.relative))
+
+    base = weights(texts)
+    assert np.isfinite(base).all() and (weights(texts[::-1], 5) == base).all()
+    for odd in (training[0], training[-1], None):  # the same words in another order, so that no count changes
+        other = [(i, "".join(f" {w}" for w in reversed(t.split())) if i == odd else t) for i, t in texts]
+        assert (weights(other) != base).any()
+
+
+def test_mean_of_packed_weights():
+    p = attention_lm.initial(np.array([3, 4, 5]), np.array([0, 1, 0]))
+    q = {name: x + np.float32(1) for name, x in p.items()}
+    (at, n, v), (at2, n2, v2) = attention_lm.packed(p, np.array([1, 2, 0, 0])), attention_lm.packed(q, np.array([3, 0, 0, 0]))
+    place = np.unique(np.append(at, at2))
+    total = lambda a, b: np.array([a[at == i].sum(axis=0) + b[at2 == i].sum(axis=0) for i in place])
+    got = attention_lm.mean(p, place, total(n, n2), total(v, v2))
+    assert got["e"] - p["e"] == pytest.approx(np.array([0.75, 0, 0, 0])[:, None] * np.ones(attention_lm.WIDTH), abs=1e-4)
+    assert all(got[x].shape == p[x].shape and got[x] - p[x] == pytest.approx(0.5, abs=1e-4) for x in p if x != "e")
+
+
+def test_attention_of_repetitive_text_stays_finite():
+    docs = [np.array([1] * 200 + [2], np.int32)] * 50
+    m = attention_lm.trained(docs, np.array([1, 10000, 50]), np.zeros(3, np.int64), 2, steps=3000)
+    for big in (m.out, m.key, m.query):
+        big *= 1000
+    assert np.isfinite(m.log10([*docs, np.array([0, 1, 0, 2], np.int32)])).all()
+
+
 def test_attention_windows_equal_a_plain_model():
     rng = np.random.default_rng(0)
     counts, groups = rng.integers(1, 50, 31), rng.integers(0, 2, 31)
