@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import table
+from cellweave.llm.common import lean, release, table
 from cellweave.llm.quality import let
 
 BLOCK = 4 << 20  # characters of text
@@ -233,7 +233,7 @@ def _blocks(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, _ROWS)
+    return rows.mapInArrow(lean(cut), _ROWS)
 
 
 _SHARED = "words array<binary>, places binary, blocks array<long>, bucket int, sizes array<int>"
@@ -288,8 +288,8 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_LIKE,
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))[: 4 + with_ids]
     dealt = _blocks(docs, ranks, pattern).repartition("key")  # used twice, shuffled once
-    shared = dealt.sortWithinPartitions("key", "block", "bucket").mapInArrow(_distinct_words, _SHARED)
-    back = encode_words(shared, ranks).mapInArrow(_ids_back, _BACK)
+    shared = dealt.sortWithinPartitions("key", "block", "bucket").mapInArrow(lean(_distinct_words), _SHARED)
+    back = encode_words(shared, ranks).mapInArrow(lean(_ids_back), _BACK)
     pieces = {rank: piece for piece, rank in ranks.items()}
 
     def lay_out(blocks: pa.Table, words: pa.Table) -> pa.Table:
@@ -326,6 +326,8 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str = GPT2_LIKE,
                     found += (ids[np.arange(first[-1]) + np.repeat(start[at] - first[:-1], lens)],)
                 for column, value in zip(out, found):
                     column.append(value)
+        if rows:  # a block; keys of buckets have none
+            release()
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=_names(schema))
 
     return dealt.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(lay_out, schema)

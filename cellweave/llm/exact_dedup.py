@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import SPACE_CHARS, stored, table
+from cellweave.llm.common import SPACE_CHARS, lean, stored, table
 
 _DROP = SPACE_CHARS.encode()
 
@@ -27,7 +27,7 @@ def _keyed(docs: DataFrame, with_body: bool, content_hash: Callable[[bytes], byt
     schema = "doc_id long, chars long, h128 binary, text_sha256 string" + ", body binary" * with_body
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             raw = [x or b"" for x in batch.column(1).to_pylist()]
             bodies = [x.translate(None, _DROP) for x in raw]
             columns = [
@@ -41,7 +41,7 @@ def _keyed(docs: DataFrame, with_body: bool, content_hash: Callable[[bytes], byt
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     chars = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), chars).mapInArrow(keys, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), chars).mapInArrow(lean(keys), schema)
 
 
 def _groups(keyed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import short_batches, signed, sorted_set, stored, table, text_batches, window_hashes, word_hashes
+from cellweave.llm.common import lean, short_batches, signed, sorted_set, stored, table, text_batches, window_hashes, word_hashes
 from cellweave.llm.components import components
 
 WIDTH = 5
@@ -95,7 +95,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(profile), schema)
 
 
 def _own_ids(sets: DataFrame) -> dict[bytes, int]:
@@ -144,7 +144,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, own_ids: dict[bytes, int])
                 arrays = [np.concatenate(heads), np.repeat(np.array(sids, np.int64), each), np.repeat(np.array(needs, np.int32), each), np.concatenate(salts)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["token", "sid", "need", "salt"])
 
-    return docs.select("text").mapInArrow(emit, "token long, sid long, need int, salt int")
+    return docs.select("text").mapInArrow(lean(emit), "token long, sid long, need int, salt int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in c[:3]], names=["token", "sid", "need"])
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "sid")
-    return dealt.select("token", "sid", "need", "salt").mapInArrow(runs, "token long, sid long, need int")
+    return dealt.select("token", "sid", "need", "salt").mapInArrow(lean(runs), "token long, sid long, need int")
 
 
 def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -192,7 +192,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
             both = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([t.tobytes() for t in sets], pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
             yield both.filter(pa.array(own, pa.bool_()))
 
-    return docs.select("sid", "key", "part", F.col("need").cast("int").alias("need"), "fp", "text").mapInArrow(sign, schema)
+    return docs.select("sid", "key", "part", F.col("need").cast("int").alias("need"), "fp", "text").mapInArrow(lean(sign), schema)
 
 
 _UNITS = "unit long, need int, sids array<long>, sizes array<int>, tokens binary"
@@ -254,7 +254,7 @@ def _opened(rows: DataFrame) -> DataFrame:
             a, b = ([x[k] for x in links] for k in range(2))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.select("members", "others").mapInArrow(check, "a long, b long")
+    return rows.select("members", "others").mapInArrow(lean(check), "a long, b long")
 
 
 def _stars(matrix: DataFrame, comps: DataFrame, units: DataFrame, turn: int) -> DataFrame:

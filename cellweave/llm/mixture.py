@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import stored, table
+from cellweave.llm.common import lean, stored, table
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -30,7 +30,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes], names=["doc_id", "source", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("binary"))
-    return rows.mapInArrow(count, "doc_id long, source string, size long")
+    return rows.mapInArrow(lean(count), "doc_id long, source string, size long")
 
 
 def weighted_sources(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import held_out, stored, table, text_batches
+from cellweave.llm.common import held_out, lean, stored, table, text_batches
 
 EXAMPLES = 4096  # of each label, at most
 PIECES = (4, 5, 6)  # lengths in bytes of the leading pieces that are terms beside the whole word
@@ -230,7 +230,7 @@ def _vocabulary(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
             kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["term", "word", "a", "b"])
 
-    counts = sample.select("text", "toxic").mapInArrow(terms, "term binary, word boolean, a long, b long").groupBy("term", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = sample.select("text", "toxic").mapInArrow(lean(terms), "term binary, word boolean, a long, b long").groupBy("term", "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     n = n1 + n0
     chi2 = F.expr(f"{n}D * pow(a * ({n0}D - b) - b * ({n1}D - a), 2) / ((a + b) * ({n}D - a - b) * {n1}D * {n0}D)")
     shared = (F.col("a") + F.col("b") >= LEAST_ROWS) & (F.col("a") + F.col("b") < n) & (chi2 >= LEAST_CHI2)
@@ -258,7 +258,7 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, len(terms))), pa.array(np.append(held[at], n))], names=["term", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)
-    for r in docs.select("text").mapInArrow(tally, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(lean(tally), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return out[:-1], int(out[-1])
 
@@ -279,7 +279,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
             lists = [pa.array(at, pa.list_(pa.int32())), pa.array([r[t] for r, t in zip(rows, at)], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *lists], names=["doc_id", "toxic", "terms", "weights"])
 
-    rows = sample.select("text", "doc_id", "toxic").mapInArrow(weighed, "doc_id long, toxic int, terms array<int>, weights array<double>").orderBy("doc_id").collect()
+    rows = sample.select("text", "doc_id", "toxic").mapInArrow(lean(weighed), "doc_id long, toxic int, terms array<int>, weights array<double>").orderBy("doc_id").collect()
     share = sum(r.toxic for r in rows) / len(rows) if rows else 0.0
     none = [r.toxic for r in rows if not r.terms]
     some = [r for r in rows if r.terms]
@@ -310,7 +310,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), evidence], names=["doc_id", "held_out", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text")
-    out = rows.mapInArrow(score, "doc_id long, held_out boolean, score double, evidence array<struct<doc_id:long,similarity:double>>")
+    out = rows.mapInArrow(lean(score), "doc_id long, held_out boolean, score double, evidence array<struct<doc_id:long,similarity:double>>")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"), "evidence")
 
 
@@ -322,7 +322,7 @@ def unoffensive(docs: DataFrame, model: Model) -> DataFrame:
         for batch, texts in text_batches(batches):
             yield batch.filter(pa.array(scorer(texts)[0] < CUTOFF, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.llm import attention_lm, byte_bpe, components, exact_dedup, jaccard_join, license_scan, lm_score, mixture, quality, toxicity, url_filter
+from cellweave.llm import attention_lm, byte_bpe, common, components, exact_dedup, jaccard_join, license_scan, lm_score, mixture, quality, toxicity, url_filter
 from cellweave.llm.common import window_hashes, word_hashes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, size int, token int"
@@ -353,6 +353,28 @@ def test_mixed_documents_are_whole(docs):
     assert out.columns == docs.columns and dict(got) == want and mixture.mixed(docs.limit(0)).count() == 0
 
 
+# memory of workers
+
+
+def test_lean_functions_give_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    kept = []
+
+    def run(batches):
+        for batch in batches:
+            pieces = [bytearray(50_000) for _ in range(4000)]
+            kept.extend(bytearray(2000) for _ in range(20))  # so that the heap's end stays in use
+            yield batch
+            del pieces
+
+    before = resident()
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 60
+
+
 # language model
 
 
