@@ -10,6 +10,7 @@ Weights of shards of a corpus, each trained from the same start, go through `pac
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -18,9 +19,9 @@ WINDOW = 24
 CONTEXT = 8  # ids of a window that only serve as context
 SCORED = WINDOW - CONTEXT
 CLASSES = 48
-STEPS, BATCH, RATE, SEED = 250, 192, 0.01, 7
+STEPS, BATCH, RATE, SEED = 250, 128, 0.01, 7
 NEVER = np.float32(-1e9)
-SAFE = 60.0  # exponents of at most this size need no shift
+SAFE = 80.0  # exponents of at most this size need no shift
 UNIT = 1 << 16  # packed weights are whole numbers of 1 / UNIT, so that their sums don't depend on the order
 
 
@@ -52,6 +53,18 @@ def _shifted(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _close(a: np.ndarray, x: np.ndarray, pad: int) -> None:
+    """No place sees padding."""
+    some = np.flatnonzero((x == pad).any(axis=1))
+    if len(some):
+        a[some] += np.where(x[some] == pad, NEVER, np.float32(0))[:, None, :]
+
+
+def _most(*tables: np.ndarray) -> float:
+    """The product of the tables' longest rows: no product of two rows is larger."""
+    return float(np.prod([np.sqrt(np.einsum("ij,ij->i", x, x).max()) for x in tables]))
+
+
 def windows(docs: list[np.ndarray], start: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs (n, WINDOW), targets (n, SCORED; pad where there is none) and the number of windows of each document."""
     each = np.array([-(-len(x) // SCORED) for x in docs], np.int64)
@@ -82,30 +95,39 @@ class AttentionModel:
     in_class: np.ndarray
     start: int
 
-    def log10(self, docs: list[np.ndarray], chunk: int = 1024) -> np.ndarray:
+    @cached_property
+    def tame(self) -> bool:
+        """Whether no exponent can need a shift."""
+        places = _most(self.query, self.key) + np.abs(self.relative).max()
+        classes = (_most(self.value) + _most(self.skip)) * _most(self.out.T) + np.abs(self.out_bias).max()
+        return bool(max(places, classes) <= SAFE)
+
+    def log10(self, docs: list[np.ndarray], chunk: int = 256) -> np.ndarray:
         """log10 probability of each list of ids, which ends with the end id."""
         pad = len(self.key) - 1
         ids, targets, each = windows(docs, self.start, pad)
-        bias, shut = _bias(self.relative), np.zeros(pad + 1, np.float32)
-        shut[pad] = NEVER
-        total = np.empty(len(ids))
+        never, near = _bias(self.relative)
+        both = never + near
+        total, classes = np.empty(len(ids)), self.out.shape[1]
+        ones = np.ones(max(WINDOW, classes), np.float32)
         for lo in range(0, len(ids), chunk):
             x, y = ids[lo : lo + chunk], targets[lo : lo + chunk]
-            a = _shifted(np.matmul(self.query.take(x[:, CONTEXT:], axis=0), self.key.take(x, axis=0).transpose(0, 2, 1)) + bias[1])
-            a += bias[0]
-            a += shut.take(x)[:, None, :]
+            a = np.matmul(self.query.take(x[:, CONTEXT:], axis=0), self.key.take(x, axis=0).transpose(0, 2, 1))
+            a = np.add(a, both, out=a) if self.tame else _shifted(a + near) + never
+            _close(a, x, pad)
             np.exp(a, out=a)
             h = np.matmul(a, self.value.take(x, axis=0))
-            h /= a.sum(axis=2, keepdims=True) + np.float32(1e-20)
+            h /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(len(x), SCORED, 1) + np.float32(1e-20)
             h += self.skip.take(x[:, CONTEXT:], axis=0)
             z = h.reshape(-1, WIDTH) @ self.out
             z += self.out_bias
-            _shifted(z)
+            if not self.tame:
+                _shifted(z)
             real = (y != pad).ravel()
             t = np.where(real, y.ravel(), 0)
-            picked = z[np.arange(len(z)), self.of_class.take(t)]
+            picked = z.ravel().take(np.arange(0, z.size, classes) + self.of_class.take(t))
             np.exp(z, out=z)
-            lp = picked.astype(np.float64) - np.log(z.sum(axis=1)) + self.in_class.take(t)
+            lp = picked.astype(np.float64) - np.log(z @ ones[:classes]) + self.in_class.take(t)
             total[lo : lo + chunk] = np.where(real, lp, 0.0).reshape(-1, SCORED).sum(axis=1)
         ends = np.cumsum(each)
         sums = np.concatenate(([0.0], np.cumsum(total)))
@@ -129,6 +151,7 @@ def train(p: Weights, of: np.ndarray, xs: np.ndarray, ys: np.ndarray, picks: lis
     d, pad, root = WIDTH, len(p["e"]) - 1, np.float32(WIDTH**-0.5)
     m, v2 = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
     far = np.maximum((np.arange(SCORED)[:, None] + CONTEXT) - np.arange(WINDOW)[None, :], 0)
+    ones = np.ones(max(WINDOW, p["u"].shape[1]), np.float32)
     for step, pick in enumerate(picks, 1):
         x, y = xs.take(pick, axis=0), ys.take(pick, axis=0).ravel()
         n, flat = len(x), x.ravel()
@@ -142,26 +165,32 @@ def train(p: Weights, of: np.ndarray, xs: np.ndarray, ys: np.ndarray, picks: lis
         all_four[:, :d] *= root
         at = all_four.take(back, axis=0).reshape(n, WINDOW, 4 * d)
         q, key, val = at[:, CONTEXT:, :d], at[:, :, d : 2 * d], at[:, :, 2 * d : 3 * d]
-        bias = _bias(p["r"])
-        a = _shifted(np.matmul(q, key.transpose(0, 2, 1)) + bias[1])
-        a += bias[0]
+        never, near = _bias(p["r"])
+        a = np.matmul(q, key.transpose(0, 2, 1))
+        if _most(all_four[:, :d], all_four[:, d : 2 * d]) + np.abs(p["r"]).max() <= SAFE:
+            a += never + near
+        else:
+            a = _shifted(a + near) + never
         if rows[-1] == pad:
-            a += np.where(x == pad, NEVER, np.float32(0))[:, None, :]
+            _close(a, x, pad)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True) + np.float32(1e-20)
+        a /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(n, SCORED, 1) + np.float32(1e-20)
         h = np.matmul(a, val)
         h += at[:, CONTEXT:, 3 * d :]
         flat_h = h.reshape(-1, d)
-        dz = _shifted(flat_h @ p["u"] + p["b"])
+        dz = flat_h @ p["u"]
+        dz += p["b"]
+        if _most(flat_h, p["u"].T) + np.abs(p["b"]).max() > SAFE:
+            _shifted(dz)
         np.exp(dz, out=dz)
         real = y != pad
         weight = real / np.float32(max(1, real.sum()))
-        dz *= (weight / dz.sum(axis=1))[:, None]
-        dz[np.arange(len(dz)), of.take(np.where(real, y, 0))] -= weight
+        dz *= (weight / (dz @ ones[: dz.shape[1]]))[:, None]
+        dz.reshape(-1)[np.arange(0, dz.size, dz.shape[1]) + of.take(np.where(real, y, 0))] -= weight
         dh = (dz @ p["u"].T).reshape(n, SCORED, d)
         ds = np.matmul(dh, val.transpose(0, 2, 1))
         ds *= a
-        ds -= a * ds.sum(axis=2, keepdims=True)
+        ds -= a * (ds.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(n, SCORED, 1)
         back4 = np.zeros((n, WINDOW, 4 * d), np.float32)
         back4[:, CONTEXT:, :d] = np.matmul(ds, key) * root
         back4[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)

@@ -15,6 +15,7 @@ untrained.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,12 +60,15 @@ def _first_pass(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(ranks, pattern), len(ranks)
+        code = "H" if end < 1 << 16 else "I"
+        last = array(code, [end]).tobytes()
         held, size, pieces = [], 0, np.zeros(end + 1, np.int64)
         for batch, texts in text_batches(batches):
             out = batch.column(1).to_pylist()
-            ids = [np.array([*encoder.encode_ordinary(x.translate(_LOWER).decode()), end], np.uint16 if end < 1 << 16 else np.uint32) for x in texts]
+            raw = [array(code, encoder.encode_ordinary(x.translate(_LOWER).decode())).tobytes() + last for x in texts]
+            ids = [np.frombuffer(x, np.dtype(code)) for x in raw]
             n = len(texts)
-            columns = [np.zeros(n, np.int32), batch.column(0), batch.column(1), [x.tobytes() for x in ids], None, None]
+            columns = [np.zeros(n, np.int32), batch.column(0), batch.column(1), raw, None, None]
             yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, kinds)], names=names)
             training = [i for i in range(n) if not out[i]]
             if training:
@@ -131,14 +135,18 @@ def _scored(first: DataFrame, ranks: dict[bytes, int], model: AttentionModel, he
     kind = np.uint16 if len(ranks) < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(pieces, pa.binary())
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 docs = [np.frombuffer(x, kind) for x in batch.column(2).to_pylist()]
                 scores = model.log10(docs)
                 rows = []
-                for ids, score in zip(docs, scores.tolist()):
-                    words, n = np.unique(tokens(b"".join([pieces[i] for i in ids.tolist()])), return_counts=True)
+                text = vocabulary.take(pa.array(np.concatenate(docs)))  # of all documents, one after another
+                text_at, text = np.frombuffer(text.buffers()[1], np.int32), np.frombuffer(text.buffers()[2] or b"", np.uint8)
+                stops = text_at[np.cumsum([len(x) for x in docs])].tolist()
+                for lo, hi, score in zip([0, *stops], stops, scores.tolist()):
+                    words, n = np.unique(tokens(text[lo:hi]), return_counts=True)
                     known = np.zeros(len(words), bool)
                     place = np.zeros(len(words), np.int64)
                     if len(head):
