@@ -32,13 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df written once to the shared folder and read back, which cuts the lineage.
+FILE_ROWS = 1 << 16  # of a file of a table that is known to be small
+
+
+def stored(df: DataFrame, *partition_by: str, rows: int | None = None) -> DataFrame:
+    """df written once to the shared folder and read back, which cuts the lineage. rows: how many it has at most, if known;
+    few rows go to few files, as each file costs its writer some processes and each task that reads it an opening.
 
     Executors may be lost afterwards: the rows are in shared storage. The table is removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

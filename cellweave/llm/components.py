@@ -33,6 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select("a", F.col("b").cast(kind).alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, now = None, _state(edges)
     while now[0] and now != before:
-        edges = stored(_stars(edges))
+        edges = stored(_stars(edges), rows=2 * int(now[0]))  # each edge gives two at most
         before, now = now, _state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -257,11 +257,11 @@ def _opened(rows: DataFrame) -> DataFrame:
     return rows.select("members", "others").mapInArrow(lean(check), "a long, b long")
 
 
-def _stars(matrix: DataFrame, comps: DataFrame, units: DataFrame, turn: int) -> DataFrame:
+def _stars(matrix: DataFrame, comps: DataFrame, units: DataFrame, turn: int, n: int) -> DataFrame:
     """Rows (members, others) that hold, for each unit, the unit of another component most of its tokens name.
 
     A token names one unit: of its largest component, the one whose hash is largest in this turn. So there are no more pairs
-    than units, and the units that name the same one are dealt into parts.
+    than units (n of them), and the units that name the same one are dealt into parts.
     """
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     held = stored(_joined(matrix, _joined(comps, sizes, "comp"), "unit"))
@@ -269,7 +269,7 @@ def _stars(matrix: DataFrame, comps: DataFrame, units: DataFrame, turn: int) ->
     pairs = _joined(held, named.select("token", F.col("star.unit").alias("star"), F.col("star.comp").alias("star_comp")), "token").filter("comp <> star_comp")
     pairs = pairs.groupBy("unit", "comp", "need", "star", "star_comp").agg(F.count(F.lit(1)).alias("shared")).filter("2 * shared >= need")
     best = pairs.groupBy("unit", "comp").agg(F.max_by(F.struct("star", "star_comp"), F.struct("shared", "star")).alias("to"))
-    best = stored(best.select("unit", "comp", F.col("to.star").alias("star"), F.col("to.star_comp").alias("star_comp")))
+    best = stored(best.select("unit", "comp", F.col("to.star").alias("star"), F.col("to.star_comp").alias("star_comp")), rows=n)
     parts = best.groupBy("star", "star_comp").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
     sets = units.select("unit", "sizes", "tokens")
     dealt = _joined(_joined(best, parts.drop("star_comp"), "star"), sets, "unit").withColumn("part", F.pmod(F.xxhash64("unit", F.lit(turn)), F.col("parts")))
@@ -287,7 +287,8 @@ def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
     query unit qualifies for another column if its own prefix shares enough of them with that column's union. Two columns
     are opened to each other where units of both qualify, with these units only.
     """
-    comps = stored(matrix.select("unit").distinct().withColumn("comp", F.col("unit")))
+    n = units.count()
+    comps = stored(matrix.select("unit").distinct().withColumn("comp", F.col("unit")), rows=n)
     owner = _owners(matrix, units)
     sets = units.select("unit", "sizes", "tokens")
 
@@ -299,14 +300,14 @@ def _connected(matrix: DataFrame, units: DataFrame) -> DataFrame:
         if links.isEmpty():
             return False
         joined = components(links).select(F.col("node").alias("comp"), "component")
-        comps = stored(_joined(comps, joined, "comp", "left").select("unit", F.coalesce("component", "comp").alias("comp")))
+        comps = stored(_joined(comps, joined, "comp", "left").select("unit", F.coalesce("component", "comp").alias("comp")), rows=n)
         return True
 
     several = owner.groupBy("gid").count().filter("count > 1").select("gid")
     alone = _joined(_joined(owner, several, "gid"), sets, "unit").groupBy("gid").agg(F.collect_list(F.struct(F.col("unit").alias("comp"), "sizes", "tokens")).alias("members"))
     merge(alone.withColumn("others", F.expr(f"cast(array() as {_MEMBERS})")))
     for turn in range(TURNS):
-        if not merge(_stars(matrix, comps, units, turn)):
+        if not merge(_stars(matrix, comps, units, turn, n)):
             break
     large = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     placed = _joined(_joined(owner, comps, "unit"), large, "comp")

@@ -353,6 +353,18 @@ def test_mixed_documents_are_whole(docs):
     assert out.columns == docs.columns and dict(got) == want and mixture.mixed(docs.limit(0)).count() == 0
 
 
+# stored tables
+
+
+def test_few_rows_go_to_few_files(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILE_ROWS", 40)
+    df = spark.range(0, 100, 1, 20)
+    files = [len(common.stored(df, rows=n).inputFiles()) for n in (None, 100, 10, 0)]
+    assert files[0] >= 20 and files[1:] == [3, 1, 1]
+    few = spark.createDataFrame([(i, i + 1) for i in range(90)], "a long, b long")
+    assert {r.component for r in components.components(few).collect()} == {0}
+
+
 # memory of workers
 
 
