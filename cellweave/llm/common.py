@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.java_gateway import JavaClass, JavaObject
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 FILE_ROWS = 1 << 16  # of a file of a table that is known to be small
+HEAP_FULL = 0.5  # share of the driver's heap
 
 
 def stored(df: DataFrame, *partition_by: str, rows: int | None = None) -> DataFrame:
@@ -46,6 +49,7 @@ def stored(df: DataFrame, *partition_by: str, rows: int | None = None) -> DataFr
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
+    release_driver(spark)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -71,6 +75,33 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _array(spark: SparkSession, kind: JavaClass, *items: object) -> JavaObject:
+    out = spark.sparkContext._gateway.new_array(kind, len(items))
+    for i, x in enumerate(items):
+        out[i] = x
+    return out
+
+
+def release_driver(spark: SparkSession) -> None:
+    """Memory that the driver holds free goes back to the system: of its Python, and of its JVM both heap and native memory.
+
+    Each action compiles code and plans anew, which leaves free pieces in the C library's arenas; they add up over the many
+    actions of an operator. Heap is collected only where it has grown to more than HEAP_FULL of what it may be.
+    """
+    release()
+    jvm = spark._jvm
+    own = jvm.java.lang.Runtime.getRuntime()
+    if own.totalMemory() > HEAP_FULL * own.maxMemory():
+        jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError):  # only some JVMs have the command; its class is open to reflection by its interface only
+        find = jvm.java.lang.Class.forName
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        call = find("javax.management.MBeanServer").getMethod("invoke", _array(spark, jvm.Class, *map(find, kinds)))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = _array(spark, jvm.Object, name, "systemTrimNativeHeap", _array(spark, jvm.Object), _array(spark, jvm.String))
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, a task's function of Arrow batches, with release() at its end.
 

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -368,6 +370,22 @@ def test_few_rows_go_to_few_files(spark, monkeypatch):
 # memory of workers
 
 
+def test_stored_gives_free_native_memory_of_the_driver_back(spark):
+    jvm = spark._jvm
+    status = pathlib.Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) / 1024
+    common.stored(spark.range(3))
+    before = resident()
+    held = [jvm.java.util.zip.Deflater() for _ in range(3000)]  # each has more than 100 kB of native memory in small pieces
+    full = resident()
+    for i, x in enumerate(held):
+        if i % 20:  # the others keep the ends of the arenas in use
+            x.end()
+    common.stored(spark.range(3))
+    assert full - before > 200
+    assert resident() - before < 0.5 * (full - before)
+
+
 def test_lean_functions_give_memory_back():
     def resident():
         with open("/proc/self/statm") as f:
