@@ -53,9 +53,8 @@ def _shifted(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _close(a: np.ndarray, x: np.ndarray, pad: int) -> None:
-    """No place sees padding."""
-    some = np.flatnonzero((x == pad).any(axis=1))
+def _close(a: np.ndarray, x: np.ndarray, pad: int, some: np.ndarray) -> None:
+    """No place sees padding, which only some windows have."""
     if len(some):
         a[some] += np.where(x[some] == pad, NEVER, np.float32(0))[:, None, :]
 
@@ -107,27 +106,29 @@ class AttentionModel:
         pad = len(self.key) - 1
         ids, targets, each = windows(docs, self.start, pad)
         never, near = _bias(self.relative)
-        both = never + near
+        both, padded = never + near, (ids == pad).any(axis=1)
         total, classes = np.empty(len(ids)), self.out.shape[1]
-        ones = np.ones(max(WINDOW, classes), np.float32)
+        ones = np.ones(WINDOW, np.float32)
+        bias = self.out_bias if self.tame else np.zeros(classes, np.float32)  # else it is in z
+        by = np.exp(bias)
         for lo in range(0, len(ids), chunk):
             x, y = ids[lo : lo + chunk], targets[lo : lo + chunk]
             a = np.matmul(self.query.take(x[:, CONTEXT:], axis=0), self.key.take(x, axis=0).transpose(0, 2, 1))
             a = np.add(a, both, out=a) if self.tame else _shifted(a + near) + never
-            _close(a, x, pad)
+            _close(a, x, pad, np.flatnonzero(padded[lo : lo + chunk]))
             np.exp(a, out=a)
             h = np.matmul(a, self.value.take(x, axis=0))
-            h /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(len(x), SCORED, 1) + np.float32(1e-20)
+            h /= (a.reshape(-1, WINDOW) @ ones).reshape(len(x), SCORED, 1) + np.float32(1e-20)
             h += self.skip.take(x[:, CONTEXT:], axis=0)
             z = h.reshape(-1, WIDTH) @ self.out
-            z += self.out_bias
             if not self.tame:
-                _shifted(z)
+                _shifted(np.add(z, self.out_bias, out=z))
             real = (y != pad).ravel()
             t = np.where(real, y.ravel(), 0)
-            picked = z.ravel().take(np.arange(0, z.size, classes) + self.of_class.take(t))
+            of = self.of_class.take(t)
+            picked = z.ravel().take(np.arange(0, z.size, classes) + of)
             np.exp(z, out=z)
-            lp = picked.astype(np.float64) - np.log(z @ ones[:classes]) + self.in_class.take(t)
+            lp = picked.astype(np.float64) + bias.take(of) - np.log(z @ by) + self.in_class.take(t)
             total[lo : lo + chunk] = np.where(real, lp, 0.0).reshape(-1, SCORED).sum(axis=1)
         ends = np.cumsum(each)
         sums = np.concatenate(([0.0], np.cumsum(total)))
@@ -146,68 +147,99 @@ def initial(counts: np.ndarray, of: np.ndarray) -> Weights:
     return {name: x.astype(np.float32) for name, x in p.items()}
 
 
+def _adam(x: np.ndarray, m: np.ndarray, v: np.ndarray, grad: np.ndarray, scale: np.float32) -> None:
+    m *= np.float32(0.9)
+    m += np.float32(0.1) * grad
+    v *= np.float32(0.99)
+    grad *= grad
+    grad *= np.float32(0.01)
+    v += grad
+    by = np.sqrt(v)
+    by += np.float32(1e-8)
+    x -= np.divide(m, by, out=by) * scale
+
+
 def train(p: Weights, of: np.ndarray, xs: np.ndarray, ys: np.ndarray, picks: list[np.ndarray]) -> None:
-    """Adam on the cross-entropy of classes, in place: a step for each batch of windows, at a rate that falls to a tenth."""
-    d, pad, root = WIDTH, len(p["e"]) - 1, np.float32(WIDTH**-0.5)
-    m, v2 = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
+    """Adam on the cross-entropy of classes, in place: a step for each batch of windows, at a rate that falls to a tenth.
+
+    The weights but those of ids are one vector, and the large arrays are made once. Products over all places of a batch go
+    in parts that stay in the cache.
+    """
+    d, pad, k = WIDTH, len(p["e"]) - 1, p["u"].shape[1]
+    names = ("w", "u", "b", "r")
+    cuts = np.cumsum([p[x].size for x in names])
+    rest = np.concatenate([p[x].ravel() for x in names])
+    rest_m, rest_v, grad = (np.zeros_like(rest) for _ in range(3))
+    (w, ub, r), (grad_w, grad_ub, grad_r) = ((x[: cuts[0]].reshape(d, 4 * d), x[cuts[0] : cuts[2]].reshape(d + 1, k), x[cuts[2] :]) for x in (rest, grad))  # b is the last row of ub
+    state = np.stack((p["e"], *np.zeros((2, *p["e"].shape), np.float32)))
+    root = np.repeat(np.array([d**-0.5, 1, 1, 1], np.float32), d)  # of queries, into w
+    most, float32 = max(map(len, picks), default=0), np.float32
+    backs = np.zeros((most, WINDOW, 4 * d), float32)
+    seen, d_seen = np.empty((2, most, SCORED, WINDOW), float32)
+    hidden, d_hidden = np.ones((most, SCORED, d + 1), float32), np.empty((most * SCORED, d), float32)
+    logits, starts = np.empty((most * SCORED, k), float32), np.arange(0, most * SCORED * k, k)
     far = np.maximum((np.arange(SCORED)[:, None] + CONTEXT) - np.arange(WINDOW)[None, :], 0)
-    ones = np.ones(max(WINDOW, p["u"].shape[1]), np.float32)
+    never = _bias(r)[0]
+    ones = np.ones(max(WINDOW, k), float32)
+    padded = (xs == pad).any(axis=1)
     for step, pick in enumerate(picks, 1):
         x, y = xs.take(pick, axis=0), ys.take(pick, axis=0).ravel()
         n, flat = len(x), x.ravel()
         order = np.argsort(flat, kind="stable")
         ids = flat.take(order)
-        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        rows, back = ids[edge], np.empty(len(ids), np.int64)
-        back[order] = np.repeat(np.arange(len(rows)), np.diff(np.append(edge, len(ids))))
-        e = p["e"].take(rows, axis=0)
-        all_four = e @ p["w"]
-        all_four[:, :d] *= root
-        at = all_four.take(back, axis=0).reshape(n, WINDOW, 4 * d)
+        new = ids[1:] != ids[:-1]
+        edge, back = np.append(0, np.flatnonzero(new) + 1), np.empty(len(ids), np.int64)
+        back[order[:1]], back[order[1:]] = 0, np.cumsum(new)
+        rows = ids.take(edge)
+        e, e_m, e_v = own = [x.take(rows, axis=0) for x in state]
+        by_root = w * root
+        at = (e @ by_root).take(back, axis=0).reshape(n, WINDOW, 4 * d)
         q, key, val = at[:, CONTEXT:, :d], at[:, :, d : 2 * d], at[:, :, 2 * d : 3 * d]
-        never, near = _bias(p["r"])
-        a = np.matmul(q, key.transpose(0, 2, 1))
-        if _most(all_four[:, :d], all_four[:, d : 2 * d]) + np.abs(p["r"]).max() <= SAFE:
+        near = r.take(far)
+        a = np.matmul(q, key.transpose(0, 2, 1), out=seen[:n])
+        if max(a.max(), -a.min()) + np.abs(r).max() <= SAFE:
             a += never + near
         else:
-            a = _shifted(a + near) + never
-        if rows[-1] == pad:
-            _close(a, x, pad)
+            a += near
+            _shifted(a)
+            a += never
+        some = np.flatnonzero(padded.take(pick))
+        _close(a, x, pad, some)
         np.exp(a, out=a)
-        a /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(n, SCORED, 1) + np.float32(1e-20)
-        h = np.matmul(a, val)
-        h += at[:, CONTEXT:, 3 * d :]
-        flat_h = h.reshape(-1, d)
-        dz = flat_h @ p["u"]
-        dz += p["b"]
-        if _most(flat_h, p["u"].T) + np.abs(p["b"]).max() > SAFE:
-            _shifted(dz)
+        a *= (1 / ((a.reshape(-1, WINDOW) @ ones[:WINDOW]) + float32(1e-20))).reshape(n, SCORED, 1)
+        h = hidden[:n]
+        np.matmul(a, val, out=h[:, :, :d])
+        h[:, :, :d] += at[:, CONTEXT:, 3 * d :]
+        flat_h = h.reshape(-1, d + 1)
+        dz = _shifted(np.matmul(flat_h, ub, out=logits[: n * SCORED]))
         np.exp(dz, out=dz)
         real = y != pad
-        weight = real / np.float32(max(1, real.sum()))
-        dz *= (weight / (dz @ ones[: dz.shape[1]]))[:, None]
-        dz.reshape(-1)[np.arange(0, dz.size, dz.shape[1]) + of.take(np.where(real, y, 0))] -= weight
-        dh = (dz @ p["u"].T).reshape(n, SCORED, d)
-        ds = np.matmul(dh, val.transpose(0, 2, 1))
+        weight = real / float32(max(1, real.sum()))
+        dz *= (weight / (dz @ ones[:k]))[:, None]
+        dz.reshape(-1)[starts[: n * SCORED] + of.take(np.where(real, y, 0))] -= weight
+        dh = np.matmul(dz, ub[:d].T, out=d_hidden[: n * SCORED]).reshape(n, SCORED, d)
+        ds = np.matmul(dh, val.transpose(0, 2, 1), out=d_seen[:n])
         ds *= a
         ds -= a * (ds.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(n, SCORED, 1)
-        back4 = np.zeros((n, WINDOW, 4 * d), np.float32)
-        back4[:, CONTEXT:, :d] = np.matmul(ds, key) * root
-        back4[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
-        back4[:, :, 2 * d : 3 * d] = np.matmul(a.transpose(0, 2, 1), dh)
+        back4 = backs[:n]
+        np.matmul(ds, key, out=back4[:, CONTEXT:, :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=back4[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dh, out=back4[:, :, 2 * d : 3 * d])
         back4[:, CONTEXT:, 3 * d :] = dh
-        back4 = back4.reshape(-1, 4 * d)
-        g = {"w": (back4.T @ e.take(back, axis=0)).T, "u": flat_h.T @ dz, "b": dz.sum(axis=0)}
-        g["e"] = np.add.reduceat((back4 @ p["w"].T).take(order, axis=0), edge, axis=0)
-        g["r"] = np.bincount(far.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(np.float32)
+        parts = back4.reshape(WINDOW, n, 4 * d)
+        np.multiply(np.matmul(e.take(back, axis=0).reshape(WINDOW, n, d).transpose(0, 2, 1), parts).sum(axis=0), root, out=grad_w)
+        grad_e = np.add.reduceat(np.matmul(parts, by_root.T).reshape(-1, d).take(order, axis=0), edge, axis=0)
+        np.matmul(flat_h.reshape(SCORED, n, d + 1).transpose(0, 2, 1), dz.reshape(SCORED, n, k)).sum(axis=0, out=grad_ub)
+        grad_r[:] = np.bincount(far.ravel(), ds.sum(axis=0).ravel(), WINDOW)
         rate = RATE * (1 - 0.9 * (step - 1) / len(picks))
-        scale = np.float32(rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step))
-        for name, grad in g.items():
-            to = rows if name == "e" else slice(None)
-            m1 = m[name][to] * np.float32(0.9) + np.float32(0.1) * grad
-            m2 = v2[name][to] * np.float32(0.99) + np.float32(0.01) * grad * grad
-            m[name][to], v2[name][to] = m1, m2
-            p[name][to] -= scale * m1 / (np.sqrt(m2) + np.float32(1e-8))
+        scale = float32(rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step))
+        _adam(e, e_m, e_v, grad_e, scale)
+        _adam(rest, rest_m, rest_v, grad, scale)
+        for to, kept in zip(state, own):
+            to[rows] = kept
+    p["e"][:] = state[0]
+    for name, x in zip(names, np.split(rest, cuts[:-1])):
+        p[name][...] = x.reshape(p[name].shape)
 
 
 def train_shard(p: Weights, of: np.ndarray, docs: list[np.ndarray], start: int, passes: int, seed: int) -> np.ndarray:

@@ -32,13 +32,42 @@ GROWTH = 16  # times as many shards train in a round as in all rounds before it,
 HEAD = 1 << 18  # words whose counts every task knows
 CHUNK = 1 << 22  # words that a task counts at once
 END = np.uint64(0)  # stands for the end among word hashes
+MARK = b" \xff "  # the end in bytes: a word that no UTF-8 text has
+TOGETHER = 16  # texts whose words are hashed at once
+BUCKETS = 20  # bits of a hash that lead to its place in the head
 
 _LOWER = bytes(x + 32 if 65 <= x < 91 else x for x in range(256))
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """Hashes of a text's words and the end."""
-    return np.append(word_hashes(text), END)
+def ended(texts: bytes | np.ndarray) -> np.ndarray:
+    """Hashes of the words of texts and their ends, where MARK follows each text."""
+    words = word_hashes(texts)
+    words[words == _MARKED] = END
+    return words
+
+
+_MARKED = word_hashes(MARK)[0]
+
+
+def finder(head: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For words: their places in the sorted head, and whether they are there."""
+    shift = np.uint64(64 - BUCKETS)
+    starts = np.searchsorted(head, np.arange(1 << BUCKETS, dtype=np.uint64) << shift)
+
+    def find(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(head):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        place = np.minimum(starts.take((words >> shift).astype(np.int64)), len(head) - 1)
+        there = head.take(place)
+        known, rest = there == words, np.flatnonzero((there < words) & (place < len(head) - 1))
+        while len(rest):
+            place[rest] += 1
+            there, own = head.take(place.take(rest)), words.take(rest)
+            known[rest] = there == own
+            rest = rest[(there < own) & (place.take(rest) < len(head) - 1)]
+        return place, known
+
+    return find
 
 
 def _encoder(ranks: dict[bytes, int], pattern: str):
@@ -73,8 +102,8 @@ def _first_pass(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
             training = [i for i in range(n) if not out[i]]
             if training:
                 pieces += np.bincount(np.concatenate([ids[i] for i in training]), minlength=end + 1)
-            for i in training:
-                held.append(tokens(texts[i]))
+            for at in range(0, len(training), TOGETHER):
+                held.append(ended(b"".join(texts[i] + MARK for i in training[at : at + TOGETHER])))
                 size += len(held[-1])
             if size >= CHUNK:
                 words, k = np.unique(np.concatenate(held), return_counts=True)
@@ -128,32 +157,36 @@ def _scored(first: DataFrame, ranks: dict[bytes, int], model: AttentionModel, he
     """Each document with its model score, what the head says of its words, and the words outside the head."""
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double, rest array<long>, times array<int>"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
     pieces = [b""] * (len(ranks) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
+    pieces[-1] = MARK
     kind = np.uint16 if len(ranks) < 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(pieces, pa.binary())
+        vocabulary, find = pa.array(pieces, pa.binary()), finder(head)
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 docs = [np.frombuffer(x, kind) for x in batch.column(2).to_pylist()]
                 scores = model.log10(docs)
-                rows = []
                 text = vocabulary.take(pa.array(np.concatenate(docs)))  # of all documents, one after another
-                text_at, text = np.frombuffer(text.buffers()[1], np.int32), np.frombuffer(text.buffers()[2] or b"", np.uint8)
-                stops = text_at[np.cumsum([len(x) for x in docs])].tolist()
-                for lo, hi, score in zip([0, *stops], stops, scores.tolist()):
-                    words, n = np.unique(tokens(text[lo:hi]), return_counts=True)
-                    known = np.zeros(len(words), bool)
-                    place = np.zeros(len(words), np.int64)
-                    if len(head):
-                        place = np.minimum(np.searchsorted(head, words), len(head) - 1)
-                        known = head[place] == words
-                    rows.append((int(n.sum()), int(n[known].sum()), float(n[known] @ log_head[place[known]]), score, signed(words[~known]), n[~known].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]], names=names)
+                text_at, text = np.frombuffer(text.buffers()[1], np.int32), np.frombuffer(text.buffers()[2], np.uint8)
+                stops = text_at[np.cumsum([len(x) for x in docs])]
+                cuts = [0, *stops[TOGETHER - 1 : -1 : TOGETHER].tolist(), int(stops[-1])]
+                words = np.concatenate([ended(text[lo:hi]) for lo, hi in zip(cuts, cuts[1:])])
+                ends = np.flatnonzero(words == END) + 1
+                starts, n = np.append(0, ends[:-1]), np.diff(ends, prepend=0)
+                place, known = find(words)
+                logs = np.where(known, log_head.take(place), 0.0) if len(head) else np.zeros(len(words))
+                where = np.flatnonzero(~known)
+                order = np.lexsort((words.take(where), doc := np.searchsorted(ends, where, side="right")))
+                rest, doc = words.take(where.take(order)), doc.take(order)
+                new = np.flatnonzero(np.concatenate((rest[:1] == rest[:1], (rest[1:] != rest[:-1]) | (doc[1:] != doc[:-1]))))
+                at_doc = pa.array(np.searchsorted(doc.take(new), np.arange(len(docs) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at_doc, pa.array(x)) for x in (signed(rest.take(new)), np.diff(new, append=len(rest)).astype(np.int32))]
+                sums = [pa.array(x) for x in (n, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(logs, starts), scores)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums, *lists], names=names)
 
     return first.filter("kind = 0").select("doc_id", "held_out", "ids").mapInArrow(run, schema)
 

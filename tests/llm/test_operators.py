@@ -422,6 +422,57 @@ def test_base_scores_equal_brute_force(docs, monkeypatch):
     assert all(r.score < 0 for r in out.collect()) and lm_score.scored(docs.limit(0), byte_bpe.default_ranks()).count() == 0
 
 
+def test_words_of_texts_together_are_those_of_each():
+    texts = ["One two", "", "  three\n", "\u00ff \u00ffx", "two", "\t"]
+    together = lm_score.ended(b"".join(x.encode() + lm_score.MARK for x in texts))
+    assert together.tolist() == [h for x in texts for h in [*word_hashes(x.encode()).tolist(), int(lm_score.END)]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_finder_equals_a_search(n):
+    rng = np.random.default_rng(n)
+    near = np.uint64(77 << 50) + np.arange(50, dtype=np.uint64)  # in one bucket
+    head = np.unique(np.concatenate((rng.integers(0, 2**64, n, dtype=np.uint64), near[: n // 20 : 2], np.array([0, 2**64 - 1][: n], np.uint64))))
+    words = np.concatenate((head, rng.integers(0, 2**64, 3000, dtype=np.uint64), near, np.array([0, 1, 2**64 - 2, 2**64 - 1], np.uint64)))
+    place, known = lm_score.finder(head)(words)
+    assert known.tolist() == np.isin(words, head).tolist()
+    assert not n or (head[place[known]] == words[known]).all()
+
+
+def test_training_equals_plain_gradients():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(1, 50, 40)
+    of, _ = attention_lm.id_classes(counts, np.arange(40) % 2)
+    xs, ys, _ = attention_lm.windows([rng.integers(0, 40, k) for k in (3, 40, 25, 16)], 39, 40)
+
+    def loss(p):
+        total = 0.0
+        e, (q, k, v, s) = p["e"], np.split(p["w"], 4, axis=1)
+        for x, y in zip(xs, ys):
+            for i, target in enumerate(y):
+                if target != 40:
+                    at = attention_lm.CONTEXT + i
+                    seen = [j for j in range(at + 1) if x[j] != 40]
+                    a = np.exp([e[x[at]] @ q @ (e[x[j]] @ k) * attention_lm.WIDTH**-0.5 + p["r"][at - j] for j in seen])
+                    z = ((a / a.sum()) @ (e[x[seen]] @ v) + e[x[at]] @ s) @ p["u"] + p["b"]
+                    total += np.log(np.exp(z).sum()) - z[of[target]]
+        return total / (ys != 40).sum()
+
+    start = attention_lm.initial(counts, of)
+    p = {name: x.copy() for name, x in start.items()}
+    attention_lm.train(p, of, xs, ys, [np.arange(len(xs))])  # the first step of Adam goes by the sign of the gradient
+    for name, x in start.items():
+        for i in rng.integers(0, x.size, 6):
+            both = []
+            for by in (1e-4, -1e-4):
+                moved = {n: w.astype(np.float64) for n, w in start.items()}
+                moved[name].ravel()[i] += by
+                both.append(loss(moved))
+            slope = (both[0] - both[1]) / 2e-4
+            if abs(slope) > 1e-5:
+                assert abs((p[name] - x).ravel()[i] + attention_lm.RATE * np.sign(slope)) < 0.02 * attention_lm.RATE
+
+
 def test_every_training_document_trains_the_weights(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SHARD", 1500)
     monkeypatch.setattr(lm_score, "STEPS", 20)
