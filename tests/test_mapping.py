@@ -313,6 +313,15 @@ def test_loop_search_and_optimisation(spark):
     assert graph.residuals(edges, out).agg(F.sum("chi2")).first()[0] == pytest.approx(chi2[-1], rel=1e-6)
 
 
+def test_backward_paths_have_no_last_hop(spark):
+    nodes, edges = _chain(40).frames(spark)
+    branch = edges.limit(1).select(*[F.lit(v).alias(c) if c in ("id", "src", "dst") else F.col(c) for c, v in zip(edges.columns, (99, 5, 30, *[None] * 6))])
+    got = sorted((r.node, r.hop, r.distance) for r in graph.backward_reach(nodes, edges.unionByName(branch)).collect())
+    assert got == sorted([(39 - i, i, float(i)) for i in range(40)] + [(5 - i, 10 + i, 10.0 + i) for i in range(6)])
+    with pytest.raises(ValueError, match="cycle"):
+        graph.backward_reach(nodes, edges.unionByName(edges.limit(1).select(*[F.lit(v).alias(c) if c in ("id", "src", "dst") else F.col(c) for c, v in zip(edges.columns, (99, 39, 0, *[None] * 6))])))
+
+
 def test_graph_text_round_trip(spark, tmp_path):
     nodes, edges = _chain(4).frames(spark)
     writers.write_graph(nodes, edges, str(tmp_path / "g"))
