@@ -209,7 +209,7 @@ def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
     v = b.vectors(spark, sf)
     q = v.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     t = v.select(F.col("id").alias("tid"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    return spatial.nearest(q, t, [], 4, 0.1).select("qid", "tid", r6("d2"), F.col("place").cast("int").alias("place"))
+    return spatial.nearest(q, t, [], 4).select("qid", "tid", r6("d2"), F.col("place").cast("int").alias("place"))
 
 
 def rays_sql(name: str, source: str) -> str:
@@ -340,13 +340,11 @@ SELECT scan_id, count(*) AS n_terms, {', '.join(out)} FROM e GROUP BY scan_id"""
 
 @query(_p2d_sql())
 def p2d_score_terms(spark: SparkSession, sf: str) -> DataFrame:
-    g = storage.stored(voxel.floored(b.cells(spark, sf).filter("has_gaussian")).withColumn("tid", F.col("cy") * 100000 + F.col("cx")))
+    g = voxel.floored(b.cells(spark, sf).filter("has_gaussian"))
+    g = g.select("scan_id", (F.col("cy") * 100000 + F.col("cx")).alias("tid"), F.col("mx").alias("tx"), F.col("my").alias("ty"), "ixx", "ixy", "iyy")
     x, y = se2.apply(lits(NEAR), F.col("x"), F.col("y"))
-    one = Window.partitionBy("scan_id").orderBy("pt_idx", "x", "y")  # equal rows are points of their own
-    p = b.scan_points(spark, sf).withColumns({"pt_idx": F.row_number().over(one), "tx": F.round(x, 6), "ty": F.round(y, 6)})
-    p = storage.stored(p)
-    near = spatial.nearest(p.select("scan_id", F.col("pt_idx").alias("qid"), F.col("tx").alias("qx"), F.col("ty").alias("qy")), g.select("scan_id", "tid", F.col("mx").alias("tx"), F.col("my").alias("ty")), ["scan_id"], 4, SIZE, 2)
-    rows = near.select("scan_id", F.col("qid").alias("pt_idx"), "tid").join(p, ["scan_id", "pt_idx"]).join(g.select("scan_id", "tid", "mx", "my", "ixx", "ixy", "iyy"), ["scan_id", "tid"])
+    p = b.scan_points(spark, sf).select("scan_id", "x", "y", F.round(x, 6).alias("qx"), F.round(y, 6).alias("qy"))
+    rows = spatial.nearest(p, g, ["scan_id"], 4).withColumnsRenamed({"tx": "mx", "ty": "my", "qx": "tx", "qy": "ty"})
     terms = registration.p2d_columns(NEAR[2], _D1, _D2)
     digits = lambda k: 3 if k[0] == "h" else 4
     return rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_terms"), *[(F.round(F.sum(v), digits(k)) + F.lit(0.0)).alias(k) for k, v in terms.items()])
@@ -365,12 +363,12 @@ round(sum(-{_E2 / 2} * value * (2 * (q1 * sx - q0 * sy) - turn)), 4) + 0.0 AS g2
 
 @query(_D2D)
 def d2d_score_terms(spark: SparkSession, sf: str) -> DataFrame:
-    g = storage.stored(voxel.floored(b.cells(spark, sf).filter("has_gaussian")).withColumn("tid", F.col("cy") * 100000 + F.col("cx")))
+    g = voxel.floored(b.cells(spark, sf).filter("has_gaussian")).withColumn("tid", F.col("cy") * 100000 + F.col("cx"))
     x, y = se2.apply(lits(NEAR), F.col("mx"), F.col("my"))
     cov = gauss.rotated(F.lit(NEAR[2]), F.col("cxx"), F.col("cxy"), F.col("cyy"))
-    s = g.select("scan_id", F.col("tid").alias("sid"), F.round(x, 6).alias("sx"), F.round(y, 6).alias("sy"), *[v.alias(k) for k, v in zip(("sxx", "sxy", "syy"), cov)])
-    near = spatial.nearest(s.select("scan_id", F.col("sid").alias("qid"), F.col("sx").alias("qx"), F.col("sy").alias("qy")), g.select("scan_id", "tid", F.col("mx").alias("tx"), F.col("my").alias("ty")), ["scan_id"], 2, SIZE, 2)
-    rows = near.select("scan_id", F.col("qid").alias("sid"), "tid").join(s, ["scan_id", "sid"]).join(g.select("scan_id", "tid", "mx", "my", "cxx", "cxy", "cyy"), ["scan_id", "tid"])
+    s = g.select("scan_id", F.round(x, 6).alias("qx"), F.round(y, 6).alias("qy"), *[v.alias(k) for k, v in zip(("sxx", "sxy", "syy"), cov)])
+    t = g.select("scan_id", "tid", F.col("mx").alias("tx"), F.col("my").alias("ty"), "cxx", "cxy", "cyy")
+    rows = spatial.nearest(s, t, ["scan_id"], 2).withColumnsRenamed({"tx": "mx", "ty": "my", "qx": "sx", "qy": "sy"})
     terms = registration.d2d_columns(_E1, _E2)
     return rows.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n_terms"), *[(F.round(F.sum(v), 4) + F.lit(0.0)).alias(k) for k, v in terms.items()])
 

@@ -64,3 +64,9 @@ def test_neighbour_joins_are_equi_joins(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     plan = catalogue.QUERIES["voxel_bin_counts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "partial_count" in plan
+
+
+@pytest.mark.parametrize("name", ["d2d_score_terms", "p2d_score_terms"])
+def test_score_terms_send_each_row_once(spark, name):
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan and "Window" not in plan

@@ -175,6 +175,32 @@ def test_nearest_is_exact(spark):
         assert [got[i][k] for k in (1, 2, 3)] == want.tolist()
 
 
+def test_nearest_of_crowds_copies_and_far_points(spark):
+    rng = np.random.default_rng(6)
+    t = np.vstack([rng.normal(0, 0.1, (6000, 2)), np.tile([[0.25, 0.25]], (300, 1)), np.column_stack([np.full(500, 0.5), rng.normal(0, 1, 500)]), [[1e6, -1e6]]])
+    q = np.vstack([t[::9], [[1e6, 1e6], [-3e5, 0.0]]])
+    ids = rng.permutation(len(t))
+    targets = spark.createDataFrame(pd.DataFrame({"tid": ids, "tx": t[:, 0], "ty": t[:, 1]}))
+    queries = spark.createDataFrame(pd.DataFrame({"qid": np.arange(len(q)), "qx": q[:, 0], "qy": q[:, 1]}))
+    order = np.argsort(ids)
+    d2 = ((t[order][None] - q[:, None]) ** 2).sum(axis=2)
+    want = np.argsort(d2, axis=1, kind="stable")[:, :4]
+    got = spatial.nearest(queries, targets, [], 4, 0.1).toPandas().sort_values(["qid", "place"])
+    assert np.array_equal(got.tid.to_numpy().reshape(-1, 4), want) and got.place.tolist() == [1, 2, 3, 4] * len(q)
+    keyed = [f.withColumn("k", F.lit(1)) for f in (queries, targets)]
+    found = spatial.nearest(*keyed, ["k"], 4).toPandas().sort_values(["qid", "place"])
+    assert np.array_equal(found.tid.to_numpy().reshape(-1, 4), want)
+
+
+def test_tiles_hold_few_targets():
+    rng = np.random.default_rng(8)
+    p = np.vstack([rng.normal(0, 0.01, (4000, 2)), rng.normal(50, 1, (100, 2)), [[1e9, 0.0]]])
+    tiles = spatial._Tiles(p, 4)
+    _, tile = tiles.of(p[:, 0], p[:, 1])
+    held = np.bincount(tile)
+    assert len(tile) == len(p) and held.min() >= 16 and held.max() < 64
+
+
 def test_block_neighbours_of_the_corner(spark):
     cells = spark.createDataFrame([(x, y, v) for x, y, v in ((3, -3, 303), (2, -2, 202), (1, -1, 101), (0, 0, 0))], "cx bigint, cy bigint, v int")
     q = spark.createDataFrame([(3, -3)], "cx bigint, cy bigint")
