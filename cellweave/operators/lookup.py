@@ -63,13 +63,14 @@ def correlative_scores(source: DataFrame, target: DataFrame, keys: Sequence[str]
 
     Points fall to table cells and are counted there first. A source cell and an occupied target cell fix one shift, so their
     pairs within a scan are summed by shift; shifts that meet nothing never arise. The range must be a multiple of the step.
+    Points are dealt by scan before the rotations multiply them; what follows happens within the scan and is not sent again.
     """
     rotations, first, last = candidates(rotation_range, rotation_step, shift_range, step)
     border = max(r for r, _, _ in kernel(step, 0.5)) if fix_border else 0
     frame = table_frame(target, keys, step)
-    rows = source.withColumn("theta", F.explode(rotations))
+    rows = source.repartition(*keys).join(frame, list(keys)).withColumn("theta", F.explode(rotations))
     c, s = F.cos("theta"), F.sin("theta")
-    rows = rows.withColumns({"rx": c * F.col("x") - s * F.col("y"), "ry": s * F.col("x") + c * F.col("y")}).join(frame, list(keys))
+    rows = rows.withColumns({"rx": c * F.col("x") - s * F.col("y"), "ry": s * F.col("x") + c * F.col("y")})
     ix, iy = table_index(F.col("rx"), F.col("ry"), step, border)
     held = rows.groupBy(*keys, "theta", ix.alias("ix"), iy.alias("iy")).agg(F.count(F.lit(1)).alias("points"))
     table = lookup_table(target, keys, step).withColumnsRenamed({"ix": "tx", "iy": "ty"})

@@ -70,3 +70,11 @@ def test_neighbour_joins_are_equi_joins(spark):
 def test_score_terms_send_each_row_once(spark, name):
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Generate" not in plan and "Window" not in plan
+
+
+def test_correlative_search_sends_points_before_rotations(spark):
+    plan = catalogue.QUERIES["correlative_search"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "theta" in line]
+    at = next(i for i, line in enumerate(plan.splitlines()) if "Generate explode" in line and "-1.6" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    assert not [line for line in plan.splitlines()[:at] if "Exchange hashpartitioning" in line and depth(line) < depth(plan.splitlines()[at])]
