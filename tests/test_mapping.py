@@ -416,3 +416,19 @@ def test_stateful_stream_equals_replay(spark, tmp_path):
     want = {r.seq: (r.event, r.x) for r in live.replay(scans, config).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_replay_gives_each_robot_its_own_task(spark):
+    scans = spark.createDataFrame([(r, 0, 0.0, 0.0, 0.0, [0.0], [0.0]) for r in range(4)], "robot bigint, seq bigint, dx double, dy double, dtheta double, px array<double>, py array<double>")
+    plan = live.replay(scans, Config())._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and f", {live.ROBOT_TASKS})" in plan and plan.count("Exchange") == 1
+
+
+def test_edges_into_a_node_follow_removals():
+    g = graph.PoseGraph()
+    for _ in range(3):
+        g.add_node((0.0, 0.0, 0.0))
+    first, second = g.add_edge(0, 2), g.add_edge(1, 2)
+    assert g.edges_in(2) == [first, second] and g.edges_in(0) == []
+    g.remove_edge(first)
+    assert g.edges_in(2) == [second] and g.add_edge(2, 1) == first and g.edges_in(1) == [first]
