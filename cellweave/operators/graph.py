@@ -230,10 +230,28 @@ def find_loops(graph: PoseGraph, node: int, match: Callable[[int, int, float], t
     return found
 
 
+GRAPH_TASKS = 256  # a fixed number, which adaptive execution does not cut to a few by the bytes of the rows
+SMALL = 200  # nodes of a graph whose normal equations are solved as one dense matrix
+
+
+def _direct(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The step that solves the normal equations, the first node held."""
+    n, d = len(g), np.arange(3)
+    at, parts = [], []
+    for p, q, left, right in ((i, i, wa, a), (j, j, wb, b), (i, j, wa, b), (j, i, wb, a)):
+        at.append(((3 * p[:, None, None] + d[:, None]) * 3 * n + 3 * q[:, None, None] + d).ravel())
+        parts.append((left.transpose(0, 2, 1) @ right).ravel())
+    h = np.bincount(np.concatenate(at), np.concatenate(parts), 9 * n * n).reshape(3 * n, 3 * n)
+    step = np.zeros_like(g)
+    step[1:] = np.linalg.solve(h[3:, 3:], -g[1:].ravel()).reshape(-1, 3)
+    return step
+
+
 def _solved(rows: list, links: list, iterations: int, gain: float, information: tuple[float, float, float]) -> tuple[np.ndarray, list[float]]:
     """Gauss-Newton over the rows of one graph, in the order of their ids: poses and chi2 after each round. The first node stays.
 
-    Start poses follow the odometry from the first node where it reaches. Blocks are summed and solved by conjugate gradients.
+    Start poses follow the odometry from the first node where it reaches. Graphs of up to SMALL nodes that it reaches whole are
+    solved directly, others by conjugate gradients, whose memory grows with the edges only.
     """
     at = {r.id: i for i, r in enumerate(rows)}
     x = np.array([[r.x, r.y, r.theta] for r in rows], float).reshape(-1, 3)
@@ -266,6 +284,10 @@ def _solved(rows: list, links: list, iterations: int, gain: float, information:
         g = np.zeros_like(x)
         np.add.at(g, i, np.einsum("nki,nk->ni", wa, e))
         np.add.at(g, j, np.einsum("nki,nk->ni", wb, e))
+        if len(seen) == len(x) <= SMALL:
+            x = x + _direct(i, j, a, b, wa, wb, g)
+            x[:, 2] = wrap(x[:, 2])
+            continue
         diag = np.zeros((len(x), 3, 3))
         np.add.at(diag, i, np.einsum("nki,nkj->nij", wa, a))
         np.add.at(diag, j, np.einsum("nki,nkj->nij", wb, b))
@@ -327,4 +349,5 @@ def optimise_each(nodes: DataFrame, edges: DataFrame, key: str = "robot", iterat
     left = nodes.select(key, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in _NODE[1:]])
     right = edges.filter("state <> 'REMOVED'").select(key, "id", *_LINK)
     schema = f"id long, x double, y double, theta double, {key} {nodes.schema[key].dataType.simpleString()}, chi2_first double, chi2_last double"
+    left, right = (d.repartition(GRAPH_TASKS, key) for d in (left, right))
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(solve, schema)

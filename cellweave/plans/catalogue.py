@@ -537,8 +537,8 @@ def robust_register(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pose_graph_optimize(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = b.graph(spark, sf)
-    return graph.optimise_each(storage.stored(nodes), storage.stored(edges))
+    nodes, edges = b.graph_of(storage.stored(b.poses(spark, sf)))
+    return graph.optimise_each(nodes, edges)
 
 
 @query(f"WITH {b.SP}, {b.cells_sql('c0', 'sp', 'scan_id, ')} SELECT scan_id, cx, cy, n, round(mx + {b.OFF_HALF}, 6) + 0.0 AS mx, round(my + {b.OFF_HALF}, 6) + 0.0 AS my, round(occ + {b.OFF_HALF}, 6) + 0.0 AS occ FROM c0")

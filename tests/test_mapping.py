@@ -432,3 +432,15 @@ def test_edges_into_a_node_follow_removals():
     assert g.edges_in(2) == [first, second] and g.edges_in(0) == []
     g.remove_edge(first)
     assert g.edges_in(2) == [second] and g.add_edge(2, 1) == first and g.edges_in(1) == [first]
+
+
+def test_direct_solution_equals_conjugate_gradients(monkeypatch):
+    rng = np.random.default_rng(3)
+    nodes = pd.DataFrame({"id": range(50), "x": 0.0, "y": 0.0, "theta": 0.0})
+    links = pd.DataFrame([(k, k + 1, "ODOM", *rng.normal((1, 0, 0.1), 0.05)) for k in range(49)] + [(k, k - 10, "LOOP", *rng.normal(0, 0.5, 3)) for k in range(10, 50, 10)], columns=["src", "dst", "type", "dx", "dy", "dtheta"])
+    solve = lambda: graph._solved(list(nodes.itertuples()), list(links.itertuples()), 10, 1e-6, graph.INFORMATION)
+    direct, history = solve()
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "_direct", None)
+    other, rounds = solve()
+    assert len(history) == len(rounds) and np.allclose(history, rounds) and np.allclose(direct, other, atol=1e-6)
