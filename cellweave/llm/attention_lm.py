@@ -79,6 +79,15 @@ def windows(docs: list[np.ndarray], start: int, pad: int) -> tuple[np.ndarray, n
     return ids[first[:, None] + np.arange(WINDOW)], out[first[:, None] + np.arange(CONTEXT, WINDOW)], each
 
 
+def _aligned(x: np.ndarray) -> np.ndarray:
+    """A copy of x that begins where a line of the cache does: a row of WIDTH numbers then lies in one."""
+    room = np.empty(x.nbytes + 64, np.uint8)
+    at = -room.ctypes.data % 64
+    out = room[at : at + x.nbytes].view(x.dtype).reshape(x.shape)
+    out[...] = x
+    return out
+
+
 @dataclass
 class AttentionModel:
     """Tables by id, so that scoring looks projections up instead of multiplying them out. The last id is padding."""
@@ -101,35 +110,52 @@ class AttentionModel:
         classes = (_most(self.value) + _most(self.skip)) * _most(self.out.T) + np.abs(self.out_bias).max()
         return bool(max(places, classes) <= SAFE)
 
+    @cached_property
+    def rows(self) -> list[np.ndarray]:
+        return [_aligned(x) for x in (self.query, self.key, self.value, self.skip)]
+
+    @cached_property
+    def targets(self) -> tuple[np.ndarray, np.ndarray]:
+        """By id: its class, and what is added to that class's logit; nothing for padding."""
+        of = np.append(self.of_class, np.zeros(1, self.of_class.dtype))
+        own = np.append(self.in_class, 0.0)
+        if self.tame:  # else the bias is in the logits
+            own[:-1] += self.out_bias.take(self.of_class)
+        return of, own
+
     def log10(self, docs: list[np.ndarray], chunk: int = 256) -> np.ndarray:
         """log10 probability of each list of ids, which ends with the end id."""
-        pad = len(self.key) - 1
+        pad, d = len(self.key) - 1, WIDTH
         ids, targets, each = windows(docs, self.start, pad)
         never, near = _bias(self.relative)
-        both, padded = never + near, (ids == pad).any(axis=1)
+        both, padded = (never + near).ravel(), (ids == pad).any(axis=1)
         total, classes = np.empty(len(ids)), self.out.shape[1]
-        ones = np.ones(WINDOW, np.float32)
-        bias = self.out_bias if self.tame else np.zeros(classes, np.float32)  # else it is in z
-        by = np.exp(bias)
+        ones, firsts = np.ones(WINDOW, np.float32), np.arange(0, chunk * SCORED * classes, classes)
+        by = np.exp(self.out_bias if self.tame else np.zeros(classes, np.float32))
+        (query, key, value, skip), (of_class, own) = self.rows, self.targets
         for lo in range(0, len(ids), chunk):
-            x, y = ids[lo : lo + chunk], targets[lo : lo + chunk]
-            a = np.matmul(self.query.take(x[:, CONTEXT:], axis=0), self.key.take(x, axis=0).transpose(0, 2, 1))
-            a = np.add(a, both, out=a) if self.tame else _shifted(a + near) + never
+            x, y = ids[lo : lo + chunk], targets[lo : lo + chunk].ravel()
+            n = len(x)
+            a = np.matmul(query.take(x[:, CONTEXT:], axis=0), key.take(x, axis=0).transpose(0, 2, 1))
+            if self.tame:
+                flat = a.reshape(n, -1)
+                flat += both
+            else:
+                a = _shifted(a + near) + never
             _close(a, x, pad, np.flatnonzero(padded[lo : lo + chunk]))
             np.exp(a, out=a)
-            h = np.matmul(a, self.value.take(x, axis=0))
-            h /= (a.reshape(-1, WINDOW) @ ones).reshape(len(x), SCORED, 1) + np.float32(1e-20)
-            h += self.skip.take(x[:, CONTEXT:], axis=0)
-            z = h.reshape(-1, WIDTH) @ self.out
+            h = np.matmul(a, value.take(x, axis=0))
+            h *= np.repeat(1 / (a.reshape(-1, WINDOW) @ ones + np.float32(1e-20)), d).reshape(h.shape)
+            h += skip.take(x[:, CONTEXT:], axis=0)
+            z = np.matmul(h.reshape(SCORED, n, d), self.out).reshape(-1, classes)  # in parts that stay in the cache
             if not self.tame:
                 _shifted(np.add(z, self.out_bias, out=z))
-            real = (y != pad).ravel()
-            t = np.where(real, y.ravel(), 0)
-            of = self.of_class.take(t)
-            picked = z.ravel().take(np.arange(0, z.size, classes) + of)
+            picked = z.ravel().take(firsts[: len(y)] + of_class.take(y))
             np.exp(z, out=z)
-            lp = picked.astype(np.float64) + bias.take(of) - np.log(z @ by) + self.in_class.take(t)
-            total[lo : lo + chunk] = np.where(real, lp, 0.0).reshape(-1, SCORED).sum(axis=1)
+            lp = picked.astype(np.float64) - np.log(z @ by)
+            lp *= y != pad
+            lp += own.take(y)
+            total[lo : lo + chunk] = lp.reshape(-1, SCORED).sum(axis=1)
         ends = np.cumsum(each)
         sums = np.concatenate(([0.0], np.cumsum(total)))
         return (sums[ends] - sums[ends - each]) / np.log(10)
@@ -170,17 +196,17 @@ def train(p: Weights, of: np.ndarray, xs: np.ndarray, ys: np.ndarray, picks: lis
     cuts = np.cumsum([p[x].size for x in names])
     rest = np.concatenate([p[x].ravel() for x in names])
     rest_m, rest_v, grad = (np.zeros_like(rest) for _ in range(3))
-    (w, ub, r), (grad_w, grad_ub, grad_r) = ((x[: cuts[0]].reshape(d, 4 * d), x[cuts[0] : cuts[2]].reshape(d + 1, k), x[cuts[2] :]) for x in (rest, grad))  # b is the last row of ub
+    (w, u, b, r), (grad_w, grad_u, grad_b, grad_r) = ((x[: cuts[0]].reshape(d, 4 * d), x[cuts[0] : cuts[1]].reshape(d, k), x[cuts[1] : cuts[2]], x[cuts[2] :]) for x in (rest, grad))
     state = np.stack((p["e"], *np.zeros((2, *p["e"].shape), np.float32)))
     root = np.repeat(np.array([d**-0.5, 1, 1, 1], np.float32), d)  # of queries, into w
     most, float32 = max(map(len, picks), default=0), np.float32
     backs = np.zeros((most, WINDOW, 4 * d), float32)
     seen, d_seen = np.empty((2, most, SCORED, WINDOW), float32)
-    hidden, d_hidden = np.ones((most, SCORED, d + 1), float32), np.empty((most * SCORED, d), float32)
+    hidden, d_hidden = np.empty((2, most, SCORED, d), float32)
     logits, starts = np.empty((most * SCORED, k), float32), np.arange(0, most * SCORED * k, k)
     far = np.maximum((np.arange(SCORED)[:, None] + CONTEXT) - np.arange(WINDOW)[None, :], 0)
     never = _bias(r)[0]
-    ones = np.ones(max(WINDOW, k), float32)
+    ones = np.ones(max(WINDOW, k, most * SCORED), float32)
     padded = (xs == pad).any(axis=1)
     for step, pick in enumerate(picks, 1):
         x, y = xs.take(pick, axis=0), ys.take(pick, axis=0).ravel()
@@ -198,7 +224,8 @@ def train(p: Weights, of: np.ndarray, xs: np.ndarray, ys: np.ndarray, picks: lis
         near = r.take(far)
         a = np.matmul(q, key.transpose(0, 2, 1), out=seen[:n])
         if max(a.max(), -a.min()) + np.abs(r).max() <= SAFE:
-            a += never + near
+            flat_a = a.reshape(n, -1)
+            flat_a += (never + near).ravel()
         else:
             a += near
             _shifted(a)
@@ -206,21 +233,22 @@ def train(p: Weights, of: np.ndarray, xs: np.ndarray, ys: np.ndarray, picks: lis
         some = np.flatnonzero(padded.take(pick))
         _close(a, x, pad, some)
         np.exp(a, out=a)
-        a *= (1 / ((a.reshape(-1, WINDOW) @ ones[:WINDOW]) + float32(1e-20))).reshape(n, SCORED, 1)
-        h = hidden[:n]
-        np.matmul(a, val, out=h[:, :, :d])
-        h[:, :, :d] += at[:, CONTEXT:, 3 * d :]
-        flat_h = h.reshape(-1, d + 1)
-        dz = _shifted(np.matmul(flat_h, ub, out=logits[: n * SCORED]))
+        a *= np.repeat(1 / ((a.reshape(-1, WINDOW) @ ones[:WINDOW]) + float32(1e-20)), WINDOW).reshape(a.shape)
+        h = np.matmul(a, val, out=hidden[:n])
+        h += at[:, CONTEXT:, 3 * d :]
+        dz = np.matmul(h.reshape(SCORED, n, d), u, out=logits[: n * SCORED].reshape(SCORED, n, k)).reshape(n, -1)
+        dz += np.tile(b, SCORED)
+        dz = _shifted(dz.reshape(-1, k))
         np.exp(dz, out=dz)
         real = y != pad
         weight = real / float32(max(1, real.sum()))
-        dz *= (weight / (dz @ ones[:k]))[:, None]
+        dz *= np.repeat(weight / (dz @ ones[:k]), k).reshape(dz.shape)
         dz.reshape(-1)[starts[: n * SCORED] + of.take(np.where(real, y, 0))] -= weight
-        dh = np.matmul(dz, ub[:d].T, out=d_hidden[: n * SCORED]).reshape(n, SCORED, d)
+        parts_z, dh = dz.reshape(SCORED, n, k), d_hidden[:n]
+        np.matmul(parts_z, np.ascontiguousarray(u.T), out=dh.reshape(SCORED, n, d))
         ds = np.matmul(dh, val.transpose(0, 2, 1), out=d_seen[:n])
         ds *= a
-        ds -= a * (ds.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(n, SCORED, 1)
+        ds -= a * np.repeat(ds.reshape(-1, WINDOW) @ ones[:WINDOW], WINDOW).reshape(a.shape)
         back4 = backs[:n]
         np.matmul(ds, key, out=back4[:, CONTEXT:, :d])
         np.matmul(ds.transpose(0, 2, 1), q, out=back4[:, :, d : 2 * d])
@@ -228,9 +256,11 @@ def train(p: Weights, of: np.ndarray, xs: np.ndarray, ys: np.ndarray, picks: lis
         back4[:, CONTEXT:, 3 * d :] = dh
         parts = back4.reshape(WINDOW, n, 4 * d)
         np.multiply(np.matmul(e.take(back, axis=0).reshape(WINDOW, n, d).transpose(0, 2, 1), parts).sum(axis=0), root, out=grad_w)
-        grad_e = np.add.reduceat(np.matmul(parts, by_root.T).reshape(-1, d).take(order, axis=0), edge, axis=0)
-        np.matmul(flat_h.reshape(SCORED, n, d + 1).transpose(0, 2, 1), dz.reshape(SCORED, n, k)).sum(axis=0, out=grad_ub)
-        grad_r[:] = np.bincount(far.ravel(), ds.sum(axis=0).ravel(), WINDOW)
+        each = np.matmul(parts, np.ascontiguousarray(by_root.T)).reshape(-1, d).take(order, axis=0)
+        grad_e = np.add.reduceat(each.view(np.complex64), edge, axis=0).view(float32)  # two at a time
+        np.matmul(h.reshape(SCORED, n, d).transpose(0, 2, 1), parts_z).sum(axis=0, out=grad_u)
+        np.matmul(ones[: n * SCORED], dz, out=grad_b)
+        grad_r[:] = np.bincount(far.ravel(), (ones[:n] @ ds.reshape(n, -1)), WINDOW)
         rate = RATE * (1 - 0.9 * (step - 1) / len(picks))
         scale = float32(rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step))
         _adam(e, e_m, e_v, grad_e, scale)

@@ -171,19 +171,41 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 
 
-def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of every word, in order: polynomial sums over bytes, all words at once."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    if not len(raw):
-        return np.empty(0, dtype=np.uint64)
+def _sums(raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words begin and end, and what gives the hash of any stretch: sums before each byte, and what each start divides by."""
     solid = np.zeros(len(raw) + 2, dtype=bool)
     np.take(_SOLID, raw, out=solid[1:-1])
     edge = np.flatnonzero(solid[1:] != solid[:-1])
-    start, stop = edge[::2], edge[1::2]
     up, down = _powers(len(raw))
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * up, out=sums[1:])
-    return mix64((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    np.cumsum((_BYTE_LOWER if lower else _BYTE).take(raw) * up, out=sums[1:])
+    return edge[::2], edge[1::2], sums, down
+
+
+def _hashes(sums: np.ndarray, down: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return mix64((sums.take(stop) - sums.take(start)) * down.take(start) + (stop - start).astype(np.uint64))
+
+
+def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of every word, in order: polynomial sums over bytes, all words at once."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    if not len(raw):
+        return np.empty(0, dtype=np.uint64)
+    start, stop, sums, down = _sums(raw, lower)
+    return _hashes(sums, down, start, stop)
+
+
+def spaced_hashes(text: bytes, mark: int) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word with the white space before it, and a function for the hashes of the words alone by their
+    numbers; then where the white space, the word and what follows begin.
+
+    Words that begin with the byte mark, with a blank after each, end a text; white space does not reach into the text before.
+    """
+    raw = np.frombuffer(text, dtype=np.uint8)
+    start, stop, sums, down = _sums(raw, True)
+    first = np.append(0, stop[:-1])
+    first[1:] += raw.take(start[:-1]) == mark
+    return _hashes(sums, down, first, stop), lambda i: _hashes(sums, down, start.take(i), stop.take(i)), first, start, stop
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -4,8 +4,8 @@ Counts of words and of subword ids come from every training document (those not
 documents are dealt into shards of about SHARD ids by hash, every window of every shard trains, and the weights of a round's
 shards, all trained from the mean of the round before, are averaged (an id's own by how often a shard saw it). The first
 round is one shard; GROWTH tells how fast rounds grow. Tables of less than STEPS batches pass more than once. Scores don't
-depend on how rows are dealt to tasks. Frequent words are looked up in a
-bounded table that every task has; the rest meet their counts in a shuffle. Words stand as 64-bit hashes (two words of n
+depend on how rows are dealt to tasks. Ids of a word are made once and kept while a worker reads texts. Frequent words are
+looked up in a bounded table that every task has; the rest meet their counts in a shuffle. Words stand as 64-bit hashes (two words of n
 would be taken for one with a chance of n^2 / 2^65).
 
 Defined results: a null text counts as empty, has one token (the end) and is scored. Every row gives a row, repeated ones
@@ -15,7 +15,6 @@ untrained.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,18 +25,13 @@ from pyspark.sql import functions as F
 from cellweave.llm.attention_lm import BATCH, SCORED, STEPS, WIDTH, AttentionModel, Weights, id_classes, initial, mean, model, packed, train_shard
 from cellweave.llm.byte_bpe import GPT2_LIKE, default_ranks
 from cellweave.llm.common import held_out, signed, stored, table, text_batches, word_hashes
+from cellweave.llm.word_ids import END, MARK, TOGETHER, forget, kept
 
 SHARD = 1 << 20  # ids of training documents that a task trains on, about
 GROWTH = 16  # times as many shards train in a round as in all rounds before it, about
 HEAD = 1 << 18  # words whose counts every task knows
-CHUNK = 1 << 22  # words that a task counts at once
-END = np.uint64(0)  # stands for the end among word hashes
-MARK = b" \xff "  # the end in bytes: a word that no UTF-8 text has
-TOGETHER = 16  # texts whose words are hashed at once
 BUCKETS = 20  # bits of a hash that lead to its place in the head
 
-_LOWER = bytes(x + 32 if 65 <= x < 91 else x for x in range(256))
-
 
 def ended(texts: bytes | np.ndarray) -> np.ndarray:
     """Hashes of the words of texts and their ends, where MARK follows each text."""
@@ -70,12 +64,6 @@ def finder(head: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndar
     return find
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str):
-    import tiktoken
-
-    return tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def _first_pass(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Rows of kind 0: a document and its subword ids; of kind 1 and 2: a task's counts of words and of ids in training."""
     schema = "kind int, doc_id long, held_out boolean, ids binary, item long, n long"
@@ -88,32 +76,18 @@ def _first_pass(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), *[pa.nulls(len(k), x) for x in kinds[1:4]], pa.array(i), pa.array(k)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(ranks, pattern), len(ranks)
-        code = "H" if end < 1 << 16 else "I"
-        last = array(code, [end]).tobytes()
-        held, size, pieces = [], 0, np.zeros(end + 1, np.int64)
-        for batch, texts in text_batches(batches):
-            out = batch.column(1).to_pylist()
-            raw = [array(code, encoder.encode_ordinary(x.translate(_LOWER).decode())).tobytes() + last for x in texts]
-            ids = [np.frombuffer(x, np.dtype(code)) for x in raw]
-            n = len(texts)
-            columns = [np.zeros(n, np.int32), batch.column(0), batch.column(1), raw, None, None]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, kinds)], names=names)
-            training = [i for i in range(n) if not out[i]]
-            if training:
-                pieces += np.bincount(np.concatenate([ids[i] for i in training]), minlength=end + 1)
-            for at in range(0, len(training), TOGETHER):
-                held.append(ended(b"".join(texts[i] + MARK for i in training[at : at + TOGETHER])))
-                size += len(held[-1])
-            if size >= CHUNK:
-                words, k = np.unique(np.concatenate(held), return_counts=True)
-                yield from counted(1, signed(words), k)
-                held, size = [], 0
-        if held:
-            words, k = np.unique(np.concatenate(held), return_counts=True)
+        with kept(ranks, pattern) as known:
+            for batch, texts in text_batches(batches):
+                raw, n = known.encode(texts, [not x for x in batch.column(1).to_pylist()]), len(texts)
+                columns = [np.zeros(n, np.int32), batch.column(0), batch.column(1), raw, None, None]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, kinds)], names=names)
+                if known.full:
+                    words, k = known.take_words()
+                    yield from counted(1, signed(words), k)
+            words, k = known.take_words()
             yield from counted(1, signed(words), k)
-        used = np.flatnonzero(pieces)
-        yield from counted(2, used, pieces[used])
+            used = np.flatnonzero(known.pieces)
+            yield from counted(2, used, known.pieces[used])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7, 2).alias("held_out"), "text")
     return rows.mapInArrow(run, schema)
@@ -136,6 +110,7 @@ def _model(first: DataFrame, ranks: dict[bytes, int]) -> AttentionModel:
 
     def trained(weights: Weights) -> Callable[[tuple, pa.Table], pa.Table]:
         def run(key: tuple, rows: pa.Table) -> pa.Table:
+            forget()
             own = {name: x.copy() for name, x in weights.items()}
             order = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("ids").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
             place, n, sums = packed(own, train_shard(own, of, [np.frombuffer(x, kind).astype(np.int32) for _, x in order], end, passes, key[0].as_py()))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.llm import attention_lm, byte_bpe, common, components, exact_dedup, jaccard_join, license_scan, lm_score, mixture, quality, toxicity, url_filter
+from cellweave.llm import attention_lm, byte_bpe, common, components, exact_dedup, jaccard_join, license_scan, lm_score, mixture, quality, toxicity, url_filter, word_ids
 from cellweave.llm.common import window_hashes, word_hashes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, size int, token int"
@@ -428,6 +428,52 @@ def test_words_of_texts_together_are_those_of_each():
     assert together.tolist() == [h for x in texts for h in [*word_hashes(x.encode()).tolist(), int(lm_score.END)]]
 
 
+ODD_CHARS = [" ", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\x00", "\x1c", "\x1f", *map(chr, (0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x3000, 0x200B, 0xFEFF)), "a", "B", "é", "1", "'s", "'", chr(0x2019), chr(0x1F600), chr(0x4E2D), "word"]
+
+
+@pytest.mark.parametrize("pattern", [byte_bpe.GPT2_LIKE, r" ?\S+|\s"])
+@pytest.mark.parametrize("most", [30, 1 << 20])
+def test_ids_by_words_equal_the_library(monkeypatch, pattern, most):
+    monkeypatch.setattr(word_ids, "MOST", most)  # of which few are forgotten again and again
+    monkeypatch.setattr(word_ids, "HELD", 50)
+    monkeypatch.setattr(word_ids, "SLOTS", 5 if most == 30 else 21)  # too few for some sixteen texts
+    rng, ranks = np.random.default_rng(most), byte_bpe.default_ranks()
+    usual = [" ".join(rng.choice(["The", "sea", "isn't", "x²", "10km", "\n\nline", "\tend ", "día"], rng.integers(0, 30))) for _ in range(300)]
+    texts = [x.encode() for x in ("", " ", "\n", " a", "a ", *("".join(rng.choice(ODD_CHARS, rng.integers(0, 12))) for _ in range(1500)), *usual)]
+    counted = [bool(x) for x in rng.integers(0, 2, len(texts))]
+    library = word_ids.encoder(ranks, pattern)
+    want = [[*library.encode_ordinary(x.decode().translate({i: i + 32 for i in range(65, 91)})), len(ranks)] for x in texts]
+    known, got, words = word_ids.WordIds(ranks, pattern), [], collections.Counter()
+    for at in range(0, len(texts), 100):
+        got += [np.frombuffer(x, np.uint16).tolist() for x in known.encode(texts[at : at + 100], counted[at : at + 100])]
+        if known.full or at + 100 >= len(texts):
+            words.update(dict(zip(*(x.tolist() for x in known.take_words()))))
+    assert got == want
+    assert known.pieces.tolist() == np.bincount(np.concatenate([x for x, c in zip(want, counted) if c]), minlength=len(ranks) + 1).tolist()
+    assert words == collections.Counter(h for x, c in zip(texts, counted) if c for h in [*word_hashes(x).tolist(), int(word_ids.END)])
+
+
+def test_words_are_encoded_once_and_stay_known_to_the_worker(monkeypatch):
+    ranks, texts, asked = byte_bpe.default_ranks(), [b"The sea and the stone and the sea." * 50] * 300, []
+    plain = word_ids.WordIds._encoded
+    monkeypatch.setattr(word_ids.WordIds, "_encoded", lambda self, text: asked.append(len(text)) or plain(self, text))
+    word_ids.forget()
+    got = []
+    for _ in range(2):
+        with word_ids.kept(ranks, byte_bpe.GPT2_LIKE) as known:
+            got.append((known.encode(texts, [True] * 300), [x.tolist() for x in known.take_words()], known.pieces.tolist()))
+    assert got[0] == got[1] and sum(asked) < 200
+    with pytest.raises(KeyError), word_ids.kept(ranks, byte_bpe.GPT2_LIKE):
+        raise KeyError
+    assert not word_ids._KEPT
+
+
+def test_white_space_outside_ascii_is_that_of_the_pattern():
+    every = "".join(chr(i) for i in range(128, 0x110000) if not 0xD800 <= i < 0xE000)
+    library = word_ids.encoder(byte_bpe.default_ranks(), r"\s")
+    assert library.decode(library.encode_ordinary(every)) == "".join(word_ids._BLANK.findall(every)) != ""
+
+
 @pytest.mark.parametrize("n", [0, 1, 5000])
 def test_finder_equals_a_search(n):
     rng = np.random.default_rng(n)
